@@ -116,15 +116,26 @@ class Logistic:
 
 
 def _calibrated(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (..., bias) of a logistic curve over the columns of scores, by Newton's method with a weak prior."""
+    """Weights (..., bias) of a logistic curve over the columns of scores, by Newton's method with a weak prior.
+
+    No weight is negative: a view that would only help upside down says nothing.
+    """
     x = np.column_stack([np.clip(scores, -20, 20), np.ones(len(y))])
-    w = np.concatenate([np.full(scores.shape[1], 1.0 / scores.shape[1]), [0.0]])
-    prior = w.copy()
-    ridge = np.eye(len(w)) * 0.5
-    for _ in range(30):
-        p = _sigmoid(x @ w)
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ (w - prior))
-    return w
+    free = np.ones(x.shape[1], dtype=bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        z = x[:, free]
+        prior = np.where(free[:-1], 1.0 / scores.shape[1], 0.0)
+        prior = np.concatenate([prior, [0.0]])[free]
+        ridge = np.eye(len(prior)) * 0.5
+        v = prior.copy()
+        for _ in range(30):
+            p = _sigmoid(z @ v)
+            v = v + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ (v - prior))
+        w[free] = v
+        if (w[:-1] >= 0).all():
+            return w
+        free &= np.concatenate([w[:-1] >= 0, [True]])
 
 
 def _chosen_stems(lists: list, y: np.ndarray, most: int) -> list[int]:
