@@ -1,0 +1,10 @@
+"""Spark-native engine for finding and rewriting personal data, screening files, and the queries around them.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -65,19 +65,24 @@ def hits(text: Column, regex: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(f"({regex})"), F.lit(1)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(places)))
 
 
-def _possible(text: Column, rule: Rule) -> Column:
+def has_digit(text: Column) -> Column:
+    return text.rlike(r"(?U)\d")
+
+
+def _possible(text: Column, rule: Rule, digit: Column | None) -> Column:
     """A necessary condition for a match of a pattern rule."""
-    conditions = [text.contains(n) if n.replace("-", "").replace("_", "").isalpha() or n in "@-" else text.rlike(n if n != r"\d" else r"(?U)\d") for n in rule.needs]
+    digit = has_digit(text) if digit is None else digit
+    conditions = [digit if n == r"\d" else text.contains(n) if n.replace("-", "").replace("_", "").isalpha() or n in "@-" else text.rlike(n) for n in rule.needs]
     out = conditions[0]
     for c in conditions[1:]:
         out = out | c
     return out
 
 
-def match_spans(text: Column, rule: Rule, order: int = 0) -> Column:
+def match_spans(text: Column, rule: Rule, order: int = 0, digit: Column | None = None) -> Column:
     """Spans of a pattern rule, case-sensitive, non-overlapping, left to right."""
     found = F.transform(hits(text, f"(?U){rule.regex}"), lambda h: span(rule.entity, h["start"], h["end"], rule.score, order))
-    return F.when(_possible(text, rule), found).otherwise(no_spans()) if rule.needs else found
+    return F.when(_possible(text, rule, digit), found).otherwise(no_spans()) if rule.needs else found
 
 
 def folded(text: Column) -> Column:
@@ -85,7 +90,7 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "İıſK", "iisk"))
 
 
-def keyword_spans(text: Column, rule: Rule, order: int = 0) -> Column:
+def keyword_spans(text: Column, rule: Rule, order: int = 0, fold: Column | None = None) -> Column:
     """Spans of the values behind a label: to the end of the line or the next label on it.
 
     A person's value is one to four capitalised words at its beginning, and nothing else is; other values need two characters.
@@ -111,7 +116,7 @@ def keyword_spans(text: Column, rule: Rule, order: int = 0) -> Column:
     found = F.filter(F.transform(hits(text, f"(?iU){rule.regex}"), value), lambda s: s.isNotNull())
     if not rule.needs:
         return found
-    fold = folded(text)
+    fold = folded(text) if fold is None else fold
     possible = fold.contains(rule.needs[0])
     for n in rule.needs[1:]:
         possible = possible | fold.contains(n)
@@ -122,15 +127,16 @@ def keyword_spans(text: Column, rule: Rule, order: int = 0) -> Column:
     return F.when(possible, found).otherwise(no_spans())
 
 
-def keyword_scan(text: Column, rules: list[Rule] | None = None, first: int = 100) -> Column:
+def keyword_scan(text: Column, rules: list[Rule] | None = None, first: int = 100, fold: Column | None = None) -> Column:
     """Spans of all labels, in order of the rules."""
     rules = keyword_rules() if rules is None else rules
-    return F.concat(*[keyword_spans(text, r, first + k) for k, r in enumerate(rules)])
+    return F.concat(*[keyword_spans(text, r, first + k, fold) for k, r in enumerate(rules)]) if rules else no_spans()
 
 
-def pattern_scan(text: Column, rules: list[Rule] | None = None) -> Column:
+def pattern_scan(text: Column, rules: list[Rule] | None = None, digit: Column | None = None) -> Column:
     """Spans of all pattern rules, in order of the rules."""
-    return F.concat(*[match_spans(text, r, k) for k, r in enumerate(PATTERN_RULES if rules is None else rules)])
+    rules = PATTERN_RULES if rules is None else rules
+    return F.concat(*[match_spans(text, r, k, digit) for k, r in enumerate(rules)]) if rules else no_spans()
 
 
 def piece(text: Column, s: Column) -> Column:
@@ -230,9 +236,9 @@ def shift(spans: Column, by: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["entity_type"].alias("entity_type"), (s["start"] + by).cast("int").alias("start"), (s["end"] + by).cast("int").alias("end"), s["score"].alias("score"), s["ord"].alias("ord"), s["tier"].alias("tier")))
 
 
-def candidates(text: Column, patterns: list[Rule] | None = None, labels: list[Rule] | None = None) -> Column:
-    """All spans of patterns and labels."""
-    return F.concat(pattern_scan(text, patterns), keyword_scan(text, labels))
+def candidates(text: Column, patterns: list[Rule] | None = None, labels: list[Rule] | None = None, digit: Column | None = None, fold: Column | None = None) -> Column:
+    """All spans of patterns and labels.  digit, fold: columns with has_digit(text) and folded(text), if there are any."""
+    return F.concat(pattern_scan(text, patterns, digit), keyword_scan(text, labels, fold=fold))
 
 
 def detect(text: Column, patterns: list[Rule] | None = None, labels: list[Rule] | None = None) -> Column:
