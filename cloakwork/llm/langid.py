@@ -16,16 +16,17 @@ empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, in_batches, table
+from .common import crc_mod, in_batches, mixed, table
+from .exchange import run_hashes
 
 PER_LANG = 600
 SEQUENCE = 48
@@ -38,6 +39,8 @@ BLOCK = 64
 def letters(word: str) -> str:
     """The word from its first letter to its last, lower-cased; empty if it has none."""
     w = word.lower()
+    if w.isalpha():
+        return w
     a, b = 0, len(w)
     while a < b and not w[a].isalpha():
         a += 1
@@ -46,14 +49,52 @@ def letters(word: str) -> str:
     return w[a:b]
 
 
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    w = word[:40] if len(word) <= 40 else word[:20] + word[-20:]
-    names = [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3)]
-    edged = f"^{w}$"
-    names += [edged[k : k + 2] for k in range(len(edged) - 1)] + [edged[k : k + 3] for k in range(len(edged) - 2)]
-    if word in lexicon:
-        names.append(f"w{word}")
-    return [zlib.crc32(x.encode()) % BUCKETS for x in dict.fromkeys(names)]
+def lexicon_of(words: list[str]) -> np.ndarray:
+    """Sorted hashes of the lexicon's words."""
+    codes, starts, ends = _codes(words)
+    return np.unique(run_hashes(codes, starts, ends)) if words else np.zeros(0, np.uint64)
+
+
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all words with a mark between them, where each word starts, where it ends)."""
+    codes = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    marks = np.flatnonzero(codes == 10)
+    return codes, marks[:-1] + 1, marks[1:]
+
+
+def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all features of all words, the word of each): prefixes and suffixes, n-grams with edges, the word itself if in the lexicon.
+
+    words: not empty, without line breaks.  One pass over the characters of all words; a word of over 40 characters is
+    described by its first and last 20.
+    """
+    codes, starts, ends = _codes([w if len(w) <= 40 else w[:20] + w[-20:] for w in words])
+    size = ends - starts
+    numbers, owners = [], []
+
+    def add(kind: int, hashes: np.ndarray, of: np.ndarray) -> None:
+        numbers.append((mixed(hashes + np.uint64(kind << 40)) % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(of)
+
+    every = np.arange(len(words))
+    for k in (1, 2, 3):
+        fits = np.flatnonzero(size >= k)
+        add(k, run_hashes(codes, starts[fits], starts[fits] + k), fits)
+        add(3 + k, run_hashes(codes, ends[fits] - k, ends[fits]), fits)
+    for k in (2, 3):  # the marks around a word are its edges
+        count = size + 3 - k
+        of = np.repeat(every, np.maximum(count, 0))
+        at = np.arange(len(of)) - np.repeat(np.cumsum(np.maximum(count, 0)) - np.maximum(count, 0), np.maximum(count, 0)) + starts[of] - 1
+        gram = codes[at]
+        for j in range(1, k):
+            gram = gram * np.uint64(0x110000) + codes[at + j]
+        add(6 + k, gram, of)
+    if len(lexicon):
+        whole = run_hashes(codes, starts, ends)
+        at = np.minimum(np.searchsorted(lexicon, whole), len(lexicon) - 1)
+        known = np.flatnonzero(lexicon[at] == whole)
+        add(10, whole[known], known)
+    return np.concatenate(numbers), np.concatenate(owners)
 
 
 def solve(potentials: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -125,17 +166,16 @@ def solve(potentials: np.ndarray, transitions: np.ndarray, lengths: np.ndarray,
 
 
 class Model:
-    """Labels, lexicon, weights of features (BUCKETS, labels), weights of transitions (labels, labels)."""
+    """Labels, lexicon (sorted hashes), weights of features (BUCKETS, labels), weights of transitions (labels, labels)."""
 
-    def __init__(self, labels: list[str], lexicon: frozenset[str], weights: np.ndarray, transitions: np.ndarray):
+    def __init__(self, labels: list[str], lexicon: np.ndarray, weights: np.ndarray, transitions: np.ndarray):
         self.labels, self.lexicon, self.weights, self.transitions = labels, lexicon, weights, transitions
 
-    def potential(self, word: str) -> np.ndarray:
-        w = letters(word)
-        if not w:
-            return np.ones(len(self.labels))
-        s = self.weights[features(w, self.lexicon)].sum(0, dtype=np.float64)
-        return np.exp(s - s.max())
+    def potentials(self, words: list[str]) -> np.ndarray:
+        """(words, labels): how well each label fits each word; words are not empty."""
+        numbers, owners = features(words, self.lexicon)
+        scores = np.stack([np.bincount(owners, weights=self.weights[numbers, j], minlength=len(words)) for j in range(len(self.labels))], 1)
+        return np.exp(scores - scores.max(1, keepdims=True))
 
 
 def _sequences(examples: list[tuple[str, str]], rng: np.random.Generator) -> list[list[tuple[str, str]]]:
@@ -159,16 +199,13 @@ def fit(examples: list[tuple[str, str]], steps: int = STEPS, seed: int = 5) -> M
     number = {x: k for k, x in enumerate(labels)}
     rng = np.random.default_rng(seed)
     sequences = _sequences(sorted(examples), rng)
-    lexicon = frozenset(w for lang in labels for w, _ in Counter(w for s in sequences for w, x in s if x == lang).most_common(LEXICON))
+    lexicon = lexicon_of([w for lang in labels for w, _ in Counter(w for s in sequences for w, x in s if x == lang).most_common(LEXICON)])
     words = sorted({w for s in sequences for w, _ in s})
     if not words:
         return Model(labels, lexicon, np.zeros((BUCKETS, len(labels)), np.float32), np.zeros((len(labels),) * 2))
     row = {w: k for k, w in enumerate(words)}
-    lists = [features(w, lexicon) for w in words]
-    flat = np.array([f for x in lists for f in x])
-    begins = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    flat, owner = features(words, lexicon)
     used, flat = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(words)), np.diff(begins))
     at = np.array([row[w] for s in sequences for w, _ in s])
     gold = np.array([number[x] for s in sequences for _, x in s])
     lengths = np.array([len(s) for s in sequences])
@@ -181,7 +218,7 @@ def fit(examples: list[tuple[str, str]], steps: int = STEPS, seed: int = 5) -> M
     w, t = np.zeros((len(used), k)), np.zeros((k, k))
     moments = [np.zeros_like(x) for x in (w, w, t, t)]
     for step in range(1, steps + 1):
-        scores = np.add.reduceat(w[flat], begins[:-1], 0)[at]
+        scores = np.stack([np.bincount(owner, weights=w[flat, j], minlength=len(words)) for j in range(k)], 1)[at]
         e = np.exp(scores - scores.max(1, keepdims=True))
         trans = np.exp(t)
         marginal, _ = solve(e, trans, lengths)
@@ -203,24 +240,30 @@ def fit(examples: list[tuple[str, str]], steps: int = STEPS, seed: int = 5) -> M
 
 
 class _Potentials(dict):
-    """word -> row of a table of potentials that grows; starts over when it is full."""
+    """word -> row of a table of potentials that grows; starts over when it is full.  Row 0 is for words without letters."""
 
     most = 300_000
 
     def __init__(self, model: Model):
         self.model = model
-        self.table = np.ones((1024, len(model.labels)))
-        self.lettered = np.zeros(1024, dtype=bool)
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k >= len(self.table):
-            self.table = np.concatenate([self.table, np.ones_like(self.table)])
-            self.lettered = np.concatenate([self.lettered, np.zeros_like(self.lettered)])
-        self.table[k] = self.model.potential(word)
-        self.lettered[k] = bool(letters(word))
-        self[word] = k
-        return k
+        self.table = np.ones((1, len(model.labels)))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The row of each word; new words are described together."""
+        new = [w for w in set(words) if w not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            self.table = self.table[:1]
+            new = list(set(words))
+        stripped = [letters(w) for w in new]
+        lettered = [x for x in stripped if x]
+        if lettered:
+            self.table = np.concatenate([self.table, self.model.potentials(lettered)])
+        row = len(self.table) - len(lettered)
+        for w, x in zip(new, stripped):
+            self[w] = row if x else 0
+            row += bool(x)
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def mark_words(texts: list[str], model: Model, held: _Potentials | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,11 +271,11 @@ def mark_words(texts: list[str], model: Model, held: _Potentials | None = None)
     held = held if held is not None else _Potentials(model)
     words = [t.split() for t in texts]
     lengths = np.array([len(x) for x in words], dtype=np.int64)
-    rows = np.fromiter((held[w] for x in words for w in x), dtype=np.int64, count=int(lengths.sum()))
+    rows = held.rows(list(chain.from_iterable(words)))
     if not len(rows):
         return np.zeros((0, len(model.labels))), np.zeros(0, bool), lengths
     marginal, _ = solve(held.table[rows], np.exp(model.transitions), lengths[lengths > 0])
-    return marginal, held.lettered[rows], lengths
+    return marginal, rows > 0, lengths
 
 
 def _predict(sent):
@@ -244,8 +287,6 @@ def _predict(sent):
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             if model.labels:
                 for some in in_batches(range(len(texts)), lambda i: len(texts[i]), 1_500_000):
-                    if len(held) > held.most:
-                        held = _Potentials(model)
                     marginal, lettered, lengths = mark_words([texts[i] for i in some], model, held)
                     marginal = marginal * lettered[:, None]
                     owner = np.repeat(np.arange(len(some)), lengths)
@@ -276,7 +317,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     """id, held_out, lang_pred, score of every row; the model learns from rows where `learn` holds."""
     spark = docs.sparkSession
     examples = sample(docs, learn, id_col, text_col, lang_col)
-    model = fit(examples) if examples else Model([], frozenset(), np.zeros((0, 0)), np.zeros((0, 0)))
+    model = fit(examples) if examples else Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
     df = docs.select(F.col(id_col).cast("long").alias("_id"), (~F.coalesce(learn, F.lit(False))).alias("held_out"), F.col(text_col).alias("_text"))
     found = df.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "_id long, held_out boolean, lang_pred string, score double")
     return found.select(F.col("_id").alias(id_col), "held_out", "lang_pred", "score")
