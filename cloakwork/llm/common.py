@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import gc
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+class Sent:
+    """An object for all Python workers, as a broadcast of its pickle by value: workers need no copy of its class."""
+
+    def __init__(self, spark: SparkSession, thing: object):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    @property
+    def value(self):
+        return pickle.loads(self.data.value)
+
+
 def small_or(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if it has at most so many rows, which is counted here; else df, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

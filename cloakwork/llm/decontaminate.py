@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, in_batches, staged, table, text_bytes
+from .common import Sent, as_bytes, in_batches, staged, table, text_bytes
 
 WINDOW = 10
 MAX_BENCHMARK_BYTES = 16_000_000
@@ -139,7 +139,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: st
     df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), none.alias("_starts"), none.alias("_ends"), none.alias("_items"))
     for k in range(parts):
         some = bench.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(parts)) == k).collect()  # at most about max_bytes
-        windows = spark.sparkContext.broadcast(Windows([(r[0], r[1].encode()) for r in some], n))
+        windows = Sent(spark, Windows([(r[0], r[1].encode()) for r in some], n))
         last = k == parts - 1
         df = df.mapInArrow(_scan(windows, keep_text or not last), SCHEMA)
         if not last:
@@ -195,7 +195,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
 
     for k in range(parts):
         some = bench.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(parts)) == k).collect()  # at most about MAX_BENCHMARK_BYTES
-        kept = kept.mapInArrow(cleaner(spark.sparkContext.broadcast(Windows([(r[0], r[1].encode()) for r in some], n))), names)
+        kept = kept.mapInArrow(cleaner(Sent(spark, Windows([(r[0], r[1].encode()) for r in some], n))), names)
         if k < parts - 1:
             kept = staged(kept, "clean")
     return kept

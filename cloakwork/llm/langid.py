@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, in_batches, mixed, table
+from .common import Sent, crc_mod, in_batches, mixed, table
 from .exchange import run_hashes
 
 PER_LANG = 600
@@ -319,7 +319,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     examples = sample(docs, learn, id_col, text_col, lang_col)
     model = fit(examples) if examples else Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
     df = docs.select(F.col(id_col).cast("long").alias("_id"), (~F.coalesce(learn, F.lit(False))).alias("held_out"), F.col(text_col).alias("_text"))
-    found = df.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "_id long, held_out boolean, lang_pred string, score double")
+    found = df.mapInArrow(_predict(Sent(spark, model)), "_id long, held_out boolean, lang_pred string, score double")
     return found.select(F.col("_id").alias(id_col), "held_out", "lang_pred", "score")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_or, table
+from .common import Sent, small_or, table
 
 LABELLED = 6000
 UNLABELLED = 2000
@@ -285,7 +285,7 @@ def _scored(sent):
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, lang, source, n_chars with _low and _toxic, the probabilities of the two targets."""
     base = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "n_chars")
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    model = Sent(docs.sparkSession, train(docs, labels))
     fields = ", ".join(f"{c} {t}" for c, t in base.dtypes)
     return base.mapInArrow(_scored(model), f"{fields}, _low double, _toxic double")
 
