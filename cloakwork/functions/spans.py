@@ -160,7 +160,7 @@ def trim_trailing_labels(spans: Column, text: Column) -> Column:
     """Persons end before a field label at their end; one that is nothing else goes."""
 
     def trim(s: Column) -> Column:
-        head = F.split(piece(text, s), f"(?iU){TRAILING_LABEL}", 2)[0]
+        head = F.split(piece(text, s), f"(?iUd){TRAILING_LABEL}", 2)[0]
         return F.when(~s["entity_type"].isin("PERSON", "NAME"), s).otherwise(let(F.length(head), lambda n: F.when(n == s["end"] - s["start"], s).when(n > 0, _ending(s, s["start"] + n))))
 
     return F.filter(F.transform(spans, trim), lambda s: s.isNotNull())

@@ -24,19 +24,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < per * cores else df
 
 
+def pinned(c: Column) -> Column:
+    """c, computed once for each row: the optimizer copies an expression into filters above it, unless it is not deterministic; the condition always holds."""
+    return F.when(F.rand(0) >= 0, c)
+
+
 def with_candidates(df: DataFrame, text: str = "text", out: str = "found", patterns: list[Rule] | None = None, labels: list[Rule] | None = None) -> DataFrame:
     """df with all spans of patterns and labels of a text column, before clipping and resolving."""
     t = F.col(text)
     wide = df.withColumn("_fold", spans.folded(t)).withColumn("_digit", spans.has_digit(t))
     found = spans.candidates(t, patterns, labels, F.col("_digit"), F.col("_fold"))
-    return wide.withColumn(out, F.when(spans.is_blank(t), spans.no_spans()).otherwise(found)).drop("_fold", "_digit")
+    return wide.withColumn(out, pinned(F.when(spans.is_blank(t), spans.no_spans()).otherwise(found))).drop("_fold", "_digit")
 
 
 def with_spans(df: DataFrame, text: str = "text", out: str = "spans", patterns: list[Rule] | None = None, labels: list[Rule] | None = None) -> DataFrame:
     """df with the disjoint spans of a text column."""
     found = F.col("_found")
     wide = with_candidates(df, text, "_found", patterns, labels)
-    return wide.withColumn(out, F.when(F.size(found) == 0, found).otherwise(spans.resolve(spans.clip_at_newline(found, F.col(text))))).drop("_found")
+    return wide.withColumn(out, pinned(F.when(F.size(found) == 0, found).otherwise(spans.resolve(spans.clip_at_newline(found, F.col(text)))))).drop("_found")
 
 
 def with_routed_spans(df: DataFrame, model: Callable[[Column], Column] | None = None, text: str = "text", out: str = "spans") -> DataFrame:
@@ -49,13 +54,13 @@ def with_routed_spans(df: DataFrame, model: Callable[[Column], Column] | None =
     fast = with_spans(df.where(~short), text, out)
     wide = df.where(short).withColumn("_fold", spans.folded(t)).withColumn("_digit", spans.has_digit(t))
     none = spans.is_blank(t)
-    wide = wide.withColumn("_rules", F.when(none, spans.no_spans()).otherwise(spans.pattern_scan(t, None, F.col("_digit"))))
-    wide = wide.withColumn("_labels", F.when(none, spans.no_spans()).otherwise(spans.keyword_scan(t, None, fold=F.col("_fold"))))
+    wide = wide.withColumn("_rules", pinned(F.when(none, spans.no_spans()).otherwise(spans.pattern_scan(t, None, F.col("_digit")))))
+    wide = wide.withColumn("_labels", pinned(F.when(none, spans.no_spans()).otherwise(spans.keyword_scan(t, None, fold=F.col("_fold")))))
     wide = wide.withColumn("_model", F.when(none, spans.no_spans()).otherwise(F.coalesce(model(t), spans.no_spans())) if model else spans.no_spans())
     rules, extra = F.col("_rules"), F.col("_model")
     clipped = F.when(F.size(rules) == 0, rules).otherwise(spans.trim_trailing_labels(spans.clip_at_newline(rules, t), t))
-    wide = wide.withColumn("_all", F.concat(clipped, F.col("_labels"), F.when(F.size(extra) == 0, extra).otherwise(spans.clip_at_newline(extra, t))))
-    full = wide.withColumn(out, F.when(F.size("_all") < 2, F.col("_all")).otherwise(spans.resolve(F.col("_all"))))
+    wide = wide.withColumn("_all", pinned(F.concat(clipped, F.col("_labels"), F.when(F.size(extra) == 0, extra).otherwise(spans.clip_at_newline(extra, t)))))
+    full = wide.withColumn(out, pinned(F.when(F.size("_all") < 2, F.col("_all")).otherwise(spans.resolve(F.col("_all")))))
     return full.select(*df.columns, out).unionByName(fast)
 
 
