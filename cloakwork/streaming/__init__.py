@@ -18,7 +18,7 @@ def sanitize_stream(stream: DataFrame, mode: str = "redact", text: str = "text",
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """New files at a path, as they come."""
-    return spark.readStream.format("binaryFile").load(path)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
