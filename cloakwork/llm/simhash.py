@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_or, staged, table
+from .common import as_bytes, in_batches, mixed, small_or, staged, table
+from .exchange import run_hashes, word_hashes
 from .graph import components
 
 SHINGLE = 3
@@ -33,6 +34,10 @@ MAX_BITS = 3
 CELL = 256
 #: (bits of a segment, groups of segments); cells take all but MAX_BITS of the groups.
 GRIDS = [(2, 6), (1, 8), (1, 16)]
+#: Mixings and bounds of the sieve for near copies, and how many hashes a sketch holds.
+SIEVES = (0x51ED270B, 0x9E6C63D1, 0xC2B2AE35)
+SIEVE_BITS = 12
+SKETCH = 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EVEN = 0x5555555555555555
 
@@ -119,10 +124,35 @@ def stars(cell: np.ndarray, fp: np.ndarray, apart: int) -> tuple[np.ndarray, np.
     return fp[out], fp[label[out]]
 
 
-def _links(apart: int):
+def nearest(cell: np.ndarray, fp: np.ndarray, accept: int, whole: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at most `accept` bits apart: all pairs of cells of up to `whole` members, each member's nearest before it in larger ones."""
+    left, right, bits = [], [], []
+    at = np.arange(len(cell))
+    for d in range(1, len(cell)):
+        at = at[: np.searchsorted(at, len(cell) - d)]
+        at = at[cell[at] == cell[at + d]]
+        if not len(at):
+            break
+        apart = np.bitwise_count(fp[at] ^ fp[at + d])
+        near = apart <= accept
+        left.append(at[near])
+        right.append(at[near] + d)
+        bits.append(apart[near])
+    if not left:
+        return fp[:0], fp[:0]
+    i, j, b = np.concatenate(left), np.concatenate(right), np.concatenate(bits)
+    _, run, size = np.unique(cell, return_inverse=True, return_counts=True)
+    order = np.lexsort((i, b, j))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = j[order][1:] != j[order][:-1]
+    take = order[first | (size[run[j[order]]] <= whole)]
+    return fp[j[take]], fp[i[take]]
+
+
+def _links(apart: int, accept: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(c: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = stars(c, f.view(np.uint64), apart)
+            a, b = stars(c, f.view(np.uint64), apart) if accept is None else nearest(c, f.view(np.uint64), accept)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         c = f = np.zeros(0, dtype=np.int64)
@@ -138,8 +168,11 @@ def _links(apart: int):
     return run
 
 
-def links(fps: DataFrame, apart: int = MAX_BITS, grids: list[tuple[int, int]] = GRIDS, most: int = CELL) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (_fp) that connect all that are at most `apart` bits away."""
+def links(fps: DataFrame, apart: int = MAX_BITS, grids: list[tuple[int, int]] = GRIDS, most: int = CELL, accept: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (_fp) that connect all that are at most `apart` bits away.
+
+    With `accept`, pairs of a cell that are up to so many bits apart, to be verified by the caller: beyond `apart` some pairs share no cell.
+    """
     found = None
     for level, (bits, groups) in enumerate(grids):
         wide = cells(fps, bits, groups, apart)
@@ -150,7 +183,7 @@ def links(fps: DataFrame, apart: int = MAX_BITS, grids: list[tuple[int, int]] =
             cold = wide.join(hot_cells, "cell", "left_anti")
         else:
             cold = wide
-        got = staged(cold.repartition("cell").sortWithinPartitions("cell", "_fp").mapInArrow(_links(apart), "a long, b long"), "links")
+        got = staged(cold.repartition("cell").sortWithinPartitions("cell", "_fp").mapInArrow(_links(apart, accept), "a long, b long"), "links")
         found = got if found is None else found.union(got)
         if hot is None or hot.isEmpty():
             break
@@ -173,10 +206,89 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, apart: int = MAX_BITS) -> DataFrame:
-    """docs with the document of the least id of each group; of repeated rows of that id and fingerprint one stays."""
-    found = near_duplicates(docs, shingle=shingle, apart=apart)
-    stay = staged(found.where("doc_id is null or doc_id = component_id").groupBy("doc_id").count(), "stay")
+def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three fingerprints of the set of words of each text: bits set in over half of the words' hashes, under three mixings."""
+    for batch in batches:
+        texts = [x.translate(_LOWER) for x in as_bytes(batch.column(1))]
+        fps = np.zeros((len(SIEVES), len(texts)), dtype=np.uint64)
+        for some in in_batches(range(len(texts)), lambda i: len(texts[i]), 2_000_000):
+            hashes, counts = word_hashes([texts[i] for i in some])
+            for i, own in zip(some, np.split(hashes, np.cumsum(counts)[:-1])):
+                own = np.unique(own)
+                for k, seed in enumerate(SIEVES if len(own) else ()):
+                    bits = np.unpackbits(mixed(own ^ np.uint64(seed)).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+                    fps[k, i] = np.packbits(bits * 2 > len(own), bitorder="little").view("<u8")[0]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f.view(np.int64), pa.int64()) for f in fps)], names=["_id", *(f"_f{k}" for k in range(len(SIEVES)))])
+
+
+def _sketches(words: int, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The least `size` hashes of each text's shingles, sorted, and whether those are all."""
+        for batch in batches:
+            out = []
+            for text in as_bytes(batch.column(1)):
+                hashes, _ = word_hashes([text.translate(_LOWER)])
+                k = min(words, len(hashes))
+                at = np.arange(len(hashes) - k + 1 if k else 0)
+                out.append(np.unique(run_hashes(hashes, at, at + k))[:size].astype("<u8").tobytes() if k else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["_id", "_sketch"])
+
+    return run
+
+
+def similarity(a: bytes, b: bytes, size: int) -> float:
+    """Jaccard similarity of two sketches: exact if both sets together have up to `size` members, else estimated from the least `size`."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    every = np.union1d(x, y)[:size]
+    return float(np.isin(every, np.intersect1d(x, y)).mean()) if len(every) else 1.0
+
+
+def _verified(least: float, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similarity(x, y, size) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) of ids whose texts' shingles of `words` words have a similarity of `least` or more.
+
+    SimHash of word sets is the sieve: an edit of one word moves it far less than it moves a SimHash of shingles.  The same
+    segment-popcount grid proposes pairs up to SIEVE_BITS apart, for three mixings of the hashes, and sketches of the shingles verify
+    them.  Texts with the same word set are compared with the first of them.  Copies are one text here; ids must tell texts apart.
+    """
+    df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
+    copies = staged(df.groupBy(F.md5(F.coalesce("_text", F.lit("")).cast("binary")).alias("_t")).agg(F.min("_id").alias("_id")), "texts")
+    one = df.join(copies.select("_id"), "_id", "left_semi")
+    fps = staged(one.mapInArrow(_word_sets, "_id long, " + ", ".join(f"_f{k} long" for k in range(len(SIEVES)))), "sieves")
+    pairs = None
+    for k in range(len(SIEVES)):
+        by_fp = staged(fps.groupBy(F.col(f"_f{k}").alias("_fp")).agg(F.min("_id").alias("_first")), "first")
+        same = fps.join(by_fp, F.col(f"_f{k}") == F.col("_fp")).select(F.col("_id").alias("a"), F.col("_first").alias("b"))
+        found = links(by_fp.select("_fp"), accept=SIEVE_BITS).distinct()
+        a, b = (by_fp.select(F.col("_fp").alias(c), F.col("_first").alias(f"_{c}")) for c in "ab")
+        far = found.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        pairs = same.union(far) if pairs is None else pairs.union(same).union(far)
+    pairs = staged(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    sketch = staged(df.join(ends, "_id", "left_semi").mapInArrow(_sketches(words, size), "_id long, _sketch binary").dropDuplicates(["_id"]), "sketches")
+    a, b = (sketch.select(F.col("_id").alias(c), F.col("_sketch").alias(f"_s{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "_sa", "_sb").mapInArrow(_verified(least, size), "a long, b long")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, apart: int = MAX_BITS, words: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with the document of the least id of each group; of repeated rows of that id one stays.
+
+    A group is what two kinds of links connect: fingerprints of `shingle` words at most `apart` bits apart, all of
+    them, and texts whose shingles of `words` words have a similarity of `least` or more (near_copies).
+    """
+    found = staged(near_duplicates(docs, shingle=shingle, apart=apart), "components")
+    both = near_copies(docs, words, least).union(found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    roots = components(both.distinct()).select(F.col("node").alias("doc_id"), "root")
+    stay = found.join(roots, "doc_id", "left").where("doc_id is null or doc_id = coalesce(root, component_id)")
+    stay = staged(stay.groupBy("doc_id").count(), "stay")
     kept = docs.join(stay.select(F.col("doc_id").alias("_stay")), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
     if not stay.where("doc_id is not null and count > 1").isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
