@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rewrite, spans
 from ..functions.rules import Rule
+from .geometry import BATCH_CHARS, batches, split_batches
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -76,3 +77,13 @@ def span_table(df: DataFrame, id_col: str = "doc_id", spans_col: str = "spans")
     """One row a span: id, entity_type, start, end, score."""
     s = F.col("_s")
     return df.select(F.col(id_col), F.explode(spans_col).alias("_s")).select(id_col, s["entity_type"].alias("entity_type"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), s["score"].alias("score"))
+
+
+def sanitize_batches(units: DataFrame, mode: str = "redact", most: int = BATCH_CHARS) -> DataFrame:
+    """(file_id, seq, text): units rewritten batch by batch, joined by a separator that no rule matches.
+
+    Gives what `sanitize` gives unit by unit, which is the way to do it; this one exists for passes that need the neighbours of a text.
+    """
+    joined = batches(units, most).withColumn("_key", F.concat_ws("/", "file_id", "batch"))
+    done = sanitize(joined, mode, "text", "_key")
+    return split_batches(done.select("file_id", "seqs", F.col("clean").alias("text")))

@@ -268,3 +268,19 @@ def preprocess_image(data: bytes):
 
 def convert_office(data: bytes, extension: str):
     raise Unsupported(f"{extension} needs an office converter, which is not available")
+
+
+def analyse_layout(data: bytes):
+    raise Unsupported("layout of images needs an OCR engine, which is not available")
+
+
+def convert_image(data: bytes):
+    raise Unsupported("conversion of images needs an image library, which is not available")
+
+
+def paint_boxes(data: bytes, boxes: list):
+    raise Unsupported("painting of images needs an image library, which is not available; `geometry.sub_boxes` gives the boxes")
+
+
+def write_pdf(data: bytes, texts: list):
+    raise Unsupported("rewriting of PDF files needs a PDF library, which is not available")

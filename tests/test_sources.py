@@ -186,6 +186,20 @@ def test_batches(spark):
     assert got == out
 
 
+def test_batched_rewriting_equals_unit_by_unit(spark):
+    texts = ["name:", "Asha Rao", MAIL, " ", "x " * 30, "DOB:", "10.0.0.1 customer Foo Bar"]
+    units = spark.createDataFrame([(f"f{k % 2}", k, t) for k, t in enumerate(texts * 2)], "file_id string, seq long, text string")
+    batched = {(r.file_id, r.seq): r.text for r in detection.sanitize_batches(units, "mask", 40).collect()}
+    single = {(r.file_id, r.seq): r.clean for r in detection.sanitize(units, "mask").collect() if r.text.strip()}
+    assert batched == single
+
+
+def test_stubs_say_what_is_missing():
+    for f in (formats.read_pdf, formats.read_image, formats.preprocess_image, formats.analyse_layout, formats.convert_image):
+        with pytest.raises(formats.Unsupported, match="not available"):
+            f(b"")
+
+
 def test_postprocess(spark):
     df = pd.DataFrame({"t": ["ﬁx \t\n Ａ1  ", None, ""]})
     assert [r[0] for r in spark.createDataFrame(df, "t string").select(geometry.postprocess(F.col("t"))).collect()] == ["fix\n A1", None, ""]
