@@ -94,6 +94,13 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that what a function makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_batches(rows: Iterable, weight: Callable, most: int) -> Iterator[list]:
     """Lists of rows that weigh `most` together; a heavier row comes alone."""
     held, heavy = [], 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sent, as_bytes, in_batches, staged, table, text_bytes
+from .common import Sent, as_bytes, in_batches, small, staged, table, text_bytes
 
 WINDOW = 10
 MAX_BENCHMARK_BYTES = 16_000_000
@@ -103,7 +103,7 @@ def _scan(windows, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = windows.value
         get = known.number.get
-        for batch in batches:
+        for batch in small(batches):
             texts = as_bytes(batch.column(1))
             n_words = [0] * len(texts)
             spans = [list(zip(a or [], b or [])) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
@@ -174,7 +174,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = windows.value
             get = known.number.get
-            for batch in batches:
+            for batch in small(batches):
                 texts = as_bytes(batch.column(1))
                 new, stay = {}, np.ones(len(texts), dtype=bool)
                 for i, raw in enumerate(texts):

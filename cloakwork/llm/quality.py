@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sent, small_or, table
+from .common import Sent, small, small_or, table
 
 LABELLED = 6000
 UNLABELLED = 2000
@@ -203,7 +203,7 @@ class Target:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of sampled documents: label columns go through."""
-    for batch in batches:
+    for batch in small(batches):
         texts, langs, sources = (batch.column(k).to_pylist() for k in (0, 1, 2))
         found, shapes, metas = [], [], []
         for text, lang, source in zip(texts, langs, sources):
@@ -264,7 +264,7 @@ def _scored(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         targets = list(sent.value.values())
         chosen = _Chosen([t.columns for t in targets])
-        for batch in batches:
+        for batch in small(batches):
             langs, sources = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             found, shapes, metas = [[] for _ in targets], [], []
             for k, text in enumerate(batch.column(1)):

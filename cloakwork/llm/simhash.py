@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, in_batches, mixed, small_or, staged, table
+from .common import as_bytes, in_batches, mixed, small, small_or, staged, table
 from .exchange import run_hashes, word_hashes
 from .graph import components
 
@@ -37,7 +37,7 @@ GRIDS = [(2, 6), (1, 8), (1, 16)]
 #: Mixings and bounds of the sieve for near copies, and how many hashes a sketch holds.
 SIEVES = (0x51ED270B, 0x9E6C63D1, 0xC2B2AE35)
 SIEVE_BITS = 12
-SKETCH = 512
+SKETCH = 256
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EVEN = 0x5555555555555555
 
@@ -64,7 +64,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fps = np.array([fingerprint(x, shingle) for x in as_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["_id", "_fp"])
 
@@ -208,10 +208,10 @@ def hex_digits(fp: Column) -> Column:
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Three fingerprints of the set of words of each text: bits set in over half of the words' hashes, under three mixings."""
-    for batch in batches:
+    for batch in small(batches):
         texts = [x.translate(_LOWER) for x in as_bytes(batch.column(1))]
         fps = np.zeros((len(SIEVES), len(texts)), dtype=np.uint64)
-        for some in in_batches(range(len(texts)), lambda i: len(texts[i]), 2_000_000):
+        for some in in_batches(range(len(texts)), lambda i: len(texts[i]), 1_000_000):
             hashes, counts = word_hashes([texts[i] for i in some])
             for i, own in zip(some, np.split(hashes, np.cumsum(counts)[:-1])):
                 own = np.unique(own)
@@ -221,10 +221,10 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f.view(np.int64), pa.int64()) for f in fps)], names=["_id", *(f"_f{k}" for k in range(len(SIEVES)))])
 
 
-def _sketches(words: int, size: int):
+def _sketches(words: int, size: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The least `size` hashes of each text's shingles, sorted, and whether those are all."""
-        for batch in batches:
+        """The least `size` hashes of each text's shingles, sorted; all of them if there are fewer, or without a size."""
+        for batch in small(batches):
             out = []
             for text in as_bytes(batch.column(1)):
                 hashes, _ = word_hashes([text.translate(_LOWER)])
@@ -236,28 +236,38 @@ def _sketches(words: int, size: int):
     return run
 
 
-def similarity(a: bytes, b: bytes, size: int) -> float:
-    """Jaccard similarity of two sketches: exact if both sets together have up to `size` members, else estimated from the least `size`."""
+def similarity(a: bytes, b: bytes, size: int | None) -> tuple[float, bool]:
+    """(Jaccard similarity of two sketches, whether it is exact); an estimate comes from the least `size` hashes of both."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    every = np.union1d(x, y)[:size]
-    return float(np.isin(every, np.intersect1d(x, y)).mean()) if len(every) else 1.0
+    exact = size is None or max(len(x), len(y)) < size
+    every = np.union1d(x, y)
+    every = every if exact else every[:size]
+    return float(np.isin(every, np.intersect1d(x, y)).mean()) if len(every) else 1.0, exact
 
 
-def _verified(least: float, size: int):
+def _compared(size: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similarity(x, y, size) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for batch in small(batches):
+            found = [similarity(x, y, size) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f for f, _ in found], pa.float64()), pa.array([e for _, e in found], pa.bool_())], names=["a", "b", "similarity", "exact"])
 
     return run
 
 
+def compared(df: DataFrame, pairs: DataFrame, words: int, size: int | None) -> DataFrame:
+    """pairs (a, b) of ids in df (_id, _text) with the similarity of their shingles, and whether it is exact."""
+    ends = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    sketch = staged(df.join(ends, "_id", "left_semi").mapInArrow(_sketches(words, size), "_id long, _sketch binary").dropDuplicates(["_id"]), "sketches")
+    a, b = (sketch.select(F.col("_id").alias(c), F.col("_sketch").alias(f"_s{c}")) for c in "ab")
+    return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "_sa", "_sb").mapInArrow(_compared(size), "a long, b long, similarity double, exact boolean"), "compared")
+
+
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) of ids whose texts' shingles of `words` words have a similarity of `least` or more.
 
     SimHash of word sets is the sieve: an edit of one word moves it far less than it moves a SimHash of shingles.  The same
-    segment-popcount grid proposes pairs up to SIEVE_BITS apart, for three mixings of the hashes, and sketches of the shingles verify
-    them.  Texts with the same word set are compared with the first of them.  Copies are one text here; ids must tell texts apart.
+    segment-popcount grid proposes pairs up to SIEVE_BITS apart, for three mixings of the hashes.  Sketches of `size` hashes
+    settle pairs that are far from the bound; all shingles of the others are compared.  Texts with the same word set are compared with the first of them.  Copies are one text here; ids must tell texts apart.
     """
     df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
     copies = staged(df.groupBy(F.md5(F.coalesce("_text", F.lit("")).cast("binary")).alias("_t")).agg(F.min("_id").alias("_id")), "texts")
@@ -272,18 +282,20 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
         far = found.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
         pairs = same.union(far) if pairs is None else pairs.union(same).union(far)
     pairs = staged(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    sketch = staged(df.join(ends, "_id", "left_semi").mapInArrow(_sketches(words, size), "_id long, _sketch binary").dropDuplicates(["_id"]), "sketches")
-    a, b = (sketch.select(F.col("_id").alias(c), F.col("_sketch").alias(f"_s{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "_sa", "_sb").mapInArrow(_verified(least, size), "a long, b long")
+    margin = 4 * (0.25 / size) ** 0.5  # four standard errors of an estimate, at the most
+    rough = compared(df, pairs, words, size)
+    close = rough.where(~F.col("exact") & (F.abs(F.col("similarity") - least) < margin)).select("a", "b")
+    sure = rough.where(F.col("exact") | (F.abs(F.col("similarity") - least) >= margin))
+    return sure.union(compared(df, close, words, None)).where(F.col("similarity") >= least).select("a", "b")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, apart: int = MAX_BITS, words: int = 5, least: float = 0.8) -> DataFrame:
-    """docs with the document of the least id of each group; of repeated rows of that id one stays.
+    """docs with the document of the least id of each group; of repeated rows of that id one stays.  Rows without an id all stay.
 
     A group is what two kinds of links connect: fingerprints of `shingle` words at most `apart` bits apart, all of
     them, and texts whose shingles of `words` words have a similarity of `least` or more (near_copies).
     """
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     found = staged(near_duplicates(docs, shingle=shingle, apart=apart), "components")
     both = near_copies(docs, words, least).union(found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
     roots = components(both.distinct()).select(F.col("node").alias("doc_id"), "root")

@@ -30,7 +30,9 @@ from .exchange import ANSWER, ANSWER_DDL, MESSAGE_DDL, added, deal, messages, na
 
 WINDOW = 35
 RUN = 8
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
+#: Bytes of text in a shard: two Python workers of an executor each hold one.
+SHARD_BYTES = 6_000_000
 
 
 def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -168,7 +170,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words that stay, one space apart, always.
     """
     df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), (F.to_json(F.struct(*rest)) if rest else F.lit(None).cast("string")).alias("_rest"))
-    n = shards or shards_for(df, "_text")
+    n = shards or shards_for(df, "_text", SHARD_BYTES)
     # the shard of a row is a hash of its id and text: the same in each of the three readings
     dealt = deal(df, n, ("_id", "_id"), ("_text", "_text"), ("_rest", "_rest"))
     by_shard = dealt.groupBy("_shard")

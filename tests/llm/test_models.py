@@ -6,7 +6,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
-from cloakwork.llm import decontaminate, langid, packing, quality, simhash, substrings
+from cloakwork.llm import decontaminate, langid, lm, packing, quality, simhash, substrings
 from pyspark.sql import functions as F
 
 from .test_corpus import plain_removal
@@ -91,6 +91,36 @@ def test_co_training_exchanges():
     assert ((p > 0.5) == (y == 1)).mean() > 0.99
 
 
+NAMES = "_id _text _rest _fp _stay _shard cell root label node a b count n_words kept text2 _low _toxic bucket shard kind".split()
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, more columns with names that operators use inside."""
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "a b", "en", None, 3), (3, "a b", "en", None, 3), (4, "word " * 60_000, "en", "s", None), (None, "some text here", "en", "s", 14), (5, "\u00e9\u4e2d \U0001f600 !!", "fr", "s", 8)]
+    schema = DOC + "".join(f", `{n}` string" for n in NAMES)
+    return spark.createDataFrame([(*r, *["x"] * len(NAMES)) for r in rows], schema)
+
+
+def test_stages_and_operators_on_odd_documents(spark, sf):
+    odd = odd_documents(spark)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs_now in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs_now, sf)
+            assert name == "packing" or out.columns == columns
+            rows = out.collect()
+            assert bool(rows) == (docs_now is odd)
+            if name == "simhash near-dedup" and docs_now is odd:
+                assert sorted(str(r.doc_id) for r in rows) == ["1", "3", "4", "5", "None", "None"]
+        n = docs_now.count()
+        assert simhash.near_duplicates(docs_now).count() == n
+        assert decontaminate.find_hits(docs_now, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == n
+        assert substrings.dedup_substrings(docs_now).count() == n
+        assert langid.identify(docs_now, F.col("doc_id") > 0).count() == n
+        assert lm.score_texts(docs_now, F.col("doc_id") > 0).count() == n
+        assert quality.score(docs_now, spark.read.parquet(f"{sf}/labels.parquet")).count() == n
+
+
 def plain_kept(before, least=0.8):
     """Ids that stay: the least of each group that fingerprints or five-word shingles link."""
     sets = []
