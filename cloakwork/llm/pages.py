@@ -189,7 +189,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     df = df.join(small_or(large, 100_000), "_host", "left")
     part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_id", "_url"), F.col("_parts")) + 1).otherwise(F.lit(0))
     name = F.when(F.col("_parts").isNotNull(), F.xxhash64("_host")).otherwise(F.pmod(F.xxhash64("_host"), F.lit(groups)))
-    return df.select(name.alias("_group"), part.cast("long").alias("_part"), "_id", "_url", "_host", "_html").groupBy("_group", "_part").applyInArrow(_extract(run, share), _SCHEMA)
+    dealt = df.select(name.alias("_group"), part.cast("long").alias("_part"), "_id", "_url", "_host", "_html")
+    # as many partitions as groups, so that a task's share does not grow with the input
+    return dealt.repartition(groups, "_group", "_part").groupBy("_group", "_part").applyInArrow(_extract(run, share), _SCHEMA)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
