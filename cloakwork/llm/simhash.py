@@ -17,6 +17,7 @@ a component's id unless all its members' ids are null; extra columns are dropped
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -36,8 +37,10 @@ CELL = 256
 GRIDS = [(2, 6), (1, 8), (1, 16)]
 #: Mixings and bounds of the sieve for near copies, and how many hashes a sketch holds.
 SIEVES = (0x51ED270B, 0x9E6C63D1, 0xC2B2AE35)
-SIEVE_BITS = 12
+SIEVE_BITS = 8
 SKETCH = 256
+#: So many ids are broadcast at most (8 MB of them), so that texts need not move; more are joined by a shuffle.
+FEW = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EVEN = 0x5555555555555555
 
@@ -207,9 +210,11 @@ def hex_digits(fp: Column) -> Column:
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three fingerprints of the set of words of each text: bits set in over half of the words' hashes, under three mixings."""
+    """A digest of each text, and three fingerprints of its set of words: bits set in over half of the words' hashes, under three mixings."""
     for batch in small(batches):
-        texts = [x.translate(_LOWER) for x in as_bytes(batch.column(1))]
+        whole = as_bytes(batch.column(1))
+        digests = [hashlib.md5(x).digest() for x in whole]
+        texts = [x.translate(_LOWER) for x in whole]
         fps = np.zeros((len(SIEVES), len(texts)), dtype=np.uint64)
         for some in in_batches(range(len(texts)), lambda i: len(texts[i]), 1_000_000):
             hashes, counts = word_hashes([texts[i] for i in some])
@@ -218,7 +223,7 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, seed in enumerate(SIEVES if len(own) else ()):
                     bits = np.unpackbits(mixed(own ^ np.uint64(seed)).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
                     fps[k, i] = np.packbits(bits * 2 > len(own), bitorder="little").view("<u8")[0]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f.view(np.int64), pa.int64()) for f in fps)], names=["_id", *(f"_f{k}" for k in range(len(SIEVES)))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(f.view(np.int64), pa.int64()) for f in fps)], names=["_id", "_t", *(f"_f{k}" for k in range(len(SIEVES)))])
 
 
 def _sketches(words: int, size: int | None):
@@ -257,7 +262,7 @@ def _compared(size: int | None):
 def compared(df: DataFrame, pairs: DataFrame, words: int, size: int | None) -> DataFrame:
     """pairs (a, b) of ids in df (_id, _text) with the similarity of their shingles, and whether it is exact."""
     ends = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    sketch = staged(df.join(ends, "_id", "left_semi").mapInArrow(_sketches(words, size), "_id long, _sketch binary").dropDuplicates(["_id"]), "sketches")
+    sketch = staged(df.join(small_or(staged(ends, "ends"), FEW), "_id", "left_semi").mapInArrow(_sketches(words, size), "_id long, _sketch binary").dropDuplicates(["_id"]), "sketches")
     a, b = (sketch.select(F.col("_id").alias(c), F.col("_sketch").alias(f"_s{c}")) for c in "ab")
     return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "_sa", "_sb").mapInArrow(_compared(size), "a long, b long, similarity double, exact boolean"), "compared")
 
@@ -270,9 +275,9 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     settle pairs that are far from the bound; all shingles of the others are compared.  Texts with the same word set are compared with the first of them.  Copies are one text here; ids must tell texts apart.
     """
     df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
-    copies = staged(df.groupBy(F.md5(F.coalesce("_text", F.lit("")).cast("binary")).alias("_t")).agg(F.min("_id").alias("_id")), "texts")
-    one = df.join(copies.select("_id"), "_id", "left_semi")
-    fps = staged(one.mapInArrow(_word_sets, "_id long, " + ", ".join(f"_f{k} long" for k in range(len(SIEVES)))), "sieves")
+    names = [f"_f{k}" for k in range(len(SIEVES))]
+    described = df.mapInArrow(_word_sets, "_id long, _t binary, " + ", ".join(f"{n} long" for n in names))
+    fps = staged(described.groupBy("_t").agg(F.min("_id").alias("_id"), *[F.min(n).alias(n) for n in names]).drop("_t"), "sieves")
     pairs = None
     for k in range(len(SIEVES)):
         by_fp = staged(fps.groupBy(F.col(f"_f{k}").alias("_fp")).agg(F.min("_id").alias("_first")), "first")
@@ -301,7 +306,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, apart: int = MAX_BITS, wor
     roots = components(both.distinct()).select(F.col("node").alias("doc_id"), "root")
     stay = found.join(roots, "doc_id", "left").where("doc_id is null or doc_id = coalesce(root, component_id)")
     stay = staged(stay.groupBy("doc_id").count(), "stay")
-    kept = docs.join(stay.select(F.col("doc_id").alias("_stay")), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    kept = docs.join(small_or(stay.select(F.col("doc_id").alias("_stay")), FEW), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
     if not stay.where("doc_id is not null and count > 1").isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept
