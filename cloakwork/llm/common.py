@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: list[str] = []
 #: Bytes of text that one shard holds on average; a shard is what one Python task has in memory.
 SHARD_BYTES = 12_000_000
 
@@ -26,10 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="cloakwork-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if not at and not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="cloakwork-"))
+    return (at or _OWN[0]).rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -125,3 +125,14 @@ def test_held_out_beats_unigrams(spark, sf):
     assert lm.score_texts(docs(spark, []), F.lit(True)).count() == 0
     none = lm.score_texts(docs(spark, ["a b", None]), F.lit(False)).collect()
     assert all(r.held_out and r.train_tokens == 0 and r.base_score == 0 and r.score == 0 for r in none)
+
+
+def test_folder_where_none_is_named():
+    from types import SimpleNamespace
+
+    from cloakwork.llm import common
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    assert common.shared_dir(unset).startswith("file:///") and common.shared_dir(unset) == common.shared_dir(unset)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://x/y/"))
+    assert common.shared_dir(named) == "hdfs://x/y"
