@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +42,8 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> list of ids, as the tokenizer file at `path` gives them without added special tokens."""
+    """text -> list of ids, as the tokenizer file at `path` gives them without added special tokens; a task makes its own."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
