@@ -259,6 +259,23 @@ def _one_risk(name: str) -> None:
 for _name in _RISKS:
     _one_risk(_name)
 
+# The same over whole texts; the two above see the first 400 characters, and so does their SQL.
+
+_RISKY_WHOLE = "SELECT doc_id, text || chr(10) || {} AS text FROM documents"
+
+
+def _one_whole_risk(name: str) -> None:
+    risk, check = _RISKS[name]
+
+    @query(f"{name}_whole", f"SELECT doc_id, {_THREAT_SQL[name]} AS reason FROM ({_RISKY_WHOLE.format(risk)})")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.sql(_RISKY_WHOLE.format(risk).replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+        return df.select("doc_id", check(F.col("text")).alias("reason"))
+
+
+for _name in _RISKS:
+    _one_whole_risk(_name)
+
 
 @query("threat_pages", f"SELECT page_id, {_THREAT_SQL['threat_text_script']} AS reason FROM (SELECT page_id, html AS text FROM pages)")
 def threat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

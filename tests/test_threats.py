@@ -59,3 +59,15 @@ def test_mimes(spark):
     cases = [(b"%PDF", "application/pdf"), (b"PK\x03\x04", "application/zip"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "application/vnd.ms-excel"), (b"MM\0*", "image/tiff"), (b"RIFFxxxxWEBP", "image/webp"), (b"xxxxftypxxxx", "image/heic"), (b"xxxxftyp", ""), (b"", "")]
     df = spark.createDataFrame(cases, "c binary, m string")
     assert [tuple(r) for r in df.select(threats.mime(F.col("c")), "m").collect()] == [(m, m) for _, m in cases]
+
+
+def test_queries_scan_whole_texts(spark, tmp_path):
+    from cloakwork.plans import queries
+
+    far = "plain words " * 500
+    rows = [(6, far + "; DROP TABLE users; <script >"), (13, far), (20, "; DROP TABLE users; <script >" + far), (27, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sql = {r.doc_id: r.reason for r in queries.QUERIES["threat_sql_whole"][0](spark, str(tmp_path)).collect()}
+    script = {r.doc_id: r.reason for r in queries.QUERIES["threat_text_script_whole"][0](spark, str(tmp_path)).collect()}
+    assert sql == {6: 'Destructive SQL statement detected: "DROP TABLE"', 13: None, 20: 'Destructive SQL statement detected: "DROP TABLE"', 27: None}
+    assert {k: v and v.split(":")[0] for k, v in script.items()} == {6: "Embedded script/code detected in text file", 13: None, 20: "Embedded script/code detected in text file", 27: None}
