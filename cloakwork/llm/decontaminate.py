@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Sent, as_bytes, in_batches, small, staged, table, text_bytes
 
@@ -83,7 +84,6 @@ class Windows:
         return out
 
 
-SCHEMA = "_id long, _text string, n_words long, _starts array<long>, _ends array<long>, _items array<long>"
 _ARROW = pa.schema([("_id", pa.int64()), ("_text", pa.string()), ("n_words", pa.int64()), ("_starts", pa.list_(pa.int64())), ("_ends", pa.list_(pa.int64())), ("_items", pa.list_(pa.int64()))])
 
 
@@ -125,25 +125,35 @@ def _scan(windows, keep_text: bool):
                     items[some[k]].update(known.ids[o] for o in owners)
             spans = [_joined(x) for x in spans]
             text = batch.column(1) if keep_text else pa.nulls(len(texts), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), text.cast(pa.string()), pa.array(n_words, pa.int64()), pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int64())), pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0), text.cast(pa.string()), pa.array(n_words, pa.int64()), pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int64())), pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), *(batch.column(c) for c in range(6, batch.num_columns))], schema=pa.schema([*_ARROW, *(batch.schema.field(c) for c in range(6, batch.num_columns))]))
 
     return run
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep_text: bool = True, max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
-    """doc id, text, n_words, word spans [start, end) of hits (arrays starts, ends) and items with hits, for every document."""
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str, item_col: str, keep_text: bool, max_bytes: int, carried: tuple[str, ...] = (), finish: tuple | None = None) -> DataFrame:
+    """What _scan gives after all parts of the benchmark; finish: a function of its last batches, in the same worker, and the schema of what that gives."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("long").alias("_item"), F.col("text").alias("_text")).where("_text is not null and _item is not null")
     parts = max(1, -(-text_bytes(bench, "_text") // max_bytes))
     none = F.array().cast("array<long>")
-    df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), none.alias("_starts"), none.alias("_ends"), none.alias("_items"))
+    df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), none.alias("_starts"), none.alias("_ends"), none.alias("_items"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
     for k in range(parts):
         some = bench.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(parts)) == k).collect()  # at most about max_bytes
         windows = Sent(spark, Windows([(r[0], r[1].encode()) for r in some], n))
         last = k == parts - 1
-        df = df.mapInArrow(_scan(windows, keep_text or not last), SCHEMA)
+        scan = _scan(windows, keep_text or not last)
+        if last and finish:
+            return df.mapInArrow(lambda batches: finish[0](scan(batches)), finish[1])
+        df = df.mapInArrow(scan, schema)
         if not last:
             df = staged(df, "hits")
+    return df
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep_text: bool = True, max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+    """doc id, text, n_words, word spans [start, end) of hits (arrays starts, ends) and items with hits, for every document."""
+    df = _scanned(docs, benchmark, n, id_col, text_col, item_col, keep_text, max_bytes)
     return df.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "n_words", F.col("_starts").alias("starts"), F.col("_ends").alias("ends"), F.col("_items").alias("items"))
 
 
@@ -158,47 +168,39 @@ def cut_spans(text: str, starts: list[int], ends: list[int]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", n: int = WINDOW) -> DataFrame:
+def _cut(remove: str):
+    """What makes clean documents of the batches of _scan: texts without the spans found in them, all spans at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, starts, ends = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            new, stay = {}, np.ones(batch.num_rows, dtype=bool)
+            for i, (a, b) in enumerate(zip(starts, ends)):
+                if a and (remove == "documents" or sum(b) - sum(a) == n_words[i]):
+                    stay[i] = False
+                elif a:
+                    new[i] = cut_spans(batch.column(1)[i].as_py(), a, b)
+            text, chars = batch.column(1), batch.column(8)
+            if new:
+                text, chars = text.to_pylist(), chars.to_pylist()
+                for i, x in new.items():
+                    text[i], chars[i] = x, len(x)
+                text, chars = pa.array(text, pa.string()), pa.array(chars, batch.schema.field(8).type)
+            out = pa.RecordBatch.from_arrays([batch.column(0), text, batch.column(6), batch.column(7), chars], names=["doc_id", "text", "lang", "source", "n_chars"])
+            yield out if stay.all() else out.filter(pa.array(stay))
+
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", n: int = WINDOW, max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """docs (doc_id, text, lang, source, n_chars) without what the benchmark holds.
 
     remove="documents" drops documents with a hit.  remove="spans" cuts the words that are hit, and drops a document only
-    if no word is left of it; documents without a hit stay as they are.
+    if no word is left of it; documents without a hit stay as they are.  Spans of all parts of a large benchmark are found
+    in the unchanged text, then cut at once.
     """
-    kept = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("long").alias("_item"), F.col("text").alias("_text")).where("_text is not null and _item is not null")
-    parts = max(1, -(-text_bytes(bench, "_text") // MAX_BENCHMARK_BYTES))
-    names = kept.schema
-
-    def cleaner(windows):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = windows.value
-            get = known.number.get
-            for batch in small(batches):
-                texts = as_bytes(batch.column(1))
-                new, stay = {}, np.ones(len(texts), dtype=bool)
-                for i, raw in enumerate(texts):
-                    ids = np.array([get(w, 0) for w in fold_words(raw)], dtype=np.int64)
-                    spans = _joined([(s, s + size) for s, size, _ in known.hits(ids, np.full(len(ids), len(ids)))])
-                    if spans and (remove == "documents" or sum(b - a for a, b in spans) == len(ids)):
-                        stay[i] = False
-                    elif spans:
-                        new[i] = cut_spans(raw.decode(), [a for a, _ in spans], [b for _, b in spans])
-                if new:
-                    text, chars = batch.column(1).to_pylist(), batch.column(4).to_pylist()
-                    for i, x in new.items():
-                        text[i], chars[i] = x, len(x)
-                    batch = pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, batch.schema.field(1).type), batch.column(2), batch.column(3), pa.array(chars, batch.schema.field(4).type)], schema=batch.schema)
-                yield batch if stay.all() else batch.filter(pa.array(stay))
-
-        return run
-
-    for k in range(parts):
-        some = bench.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(parts)) == k).collect()  # at most about MAX_BENCHMARK_BYTES
-        kept = kept.mapInArrow(cleaner(Sent(spark, Windows([(r[0], r[1].encode()) for r in some], n))), names)
-        if k < parts - 1:
-            kept = staged(kept, "clean")
-    return kept
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    return _scanned(kept, benchmark, n, "doc_id", "text", "item_id", True, max_bytes, ("lang", "source", "n_chars"), (_cut(remove), kept.schema))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,20 @@ def test_decontamination_removes(spark):
     assert decontaminate.find_hits(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_in_parts(spark):
+    """Windows of one part overlap those of another; the parts of a benchmark change nothing."""
+    w = [f"w{k}" for k in range(40)]
+    items = [(i, " ".join(w[a : a + 13])) for i, a in enumerate((0, 7, 14, 25))] + [(9, " ".join(w[20:22] + w[38:] + ["x"] * 6))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(["start", *w[:20], "end"]), " ".join(["a", *w, "b"]), " ".join([*w[7:20], "z"]), " ".join(w[:27]), "clean"]
+    want = ["start end", None, None, None, "clean"]
+    for remove in ("spans", "documents"):
+        got = [sorted(map(str, decontaminate.decontaminate(docs(spark, texts), bench, remove, max_bytes=most).collect())) for most in (10**6, 90, 20)]
+        assert got[0] == got[1] == got[2]
+    found = {r.doc_id: " ".join(r.text.split()) for r in decontaminate.decontaminate(docs(spark, texts), bench, max_bytes=20).collect()}
+    assert found[0] == want[0] and found[4] == want[4] and found[1] == "a w38 w39 b" and 2 in found and found[2] == "z"
+
+
 def test_packing_round_trip(spark, sf):
     from tokenizers import Tokenizer
 
