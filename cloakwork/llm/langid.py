@@ -65,10 +65,10 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of all features of all words, the word of each): prefixes and suffixes, n-grams with edges, the word itself if in the lexicon.
 
-    words: not empty, without line breaks.  One pass over the characters of all words; a word of over 40 characters is
-    described by its first and last 20.
+    words: not empty, without line breaks.  One pass over the characters of all words; a long
+    word, or a text without blanks, counts with every character.
     """
-    codes, starts, ends = _codes([w if len(w) <= 40 else w[:20] + w[-20:] for w in words])
+    codes, starts, ends = _codes(words)
     size = ends - starts
     numbers, owners = [], []
 

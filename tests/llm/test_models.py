@@ -1,6 +1,7 @@
 """Language and quality models: exact inference, held-out accuracy, edge cases; the pipeline."""
 
 import itertools
+import random
 import zlib
 
 import corpus_pipeline
@@ -190,3 +191,18 @@ def test_pipeline_by_brute_force(spark, sf):
             assert got == {r.doc_id: [*encode(r.text), 1] for r in before}
         docs_now = after
     assert simhash.MAX_BITS == 3
+
+
+def test_language_of_text_without_blanks():
+    """Texts that differ only beyond the first and last 20 characters: each is one word."""
+    rng = random.Random(8)
+
+    def text(letters, n):
+        return "m" * 20 + "".join(rng.choice(letters) for _ in range(n)) + "m" * 20
+
+    sides = {"aa": "\u4e00\u4e8c\u4e09\u56db", "bb": "\u3042\u3044\u3046\u3048"}
+    model = langid.fit([(lang, text(x, 60)) for lang, x in sides.items() for _ in range(20)])
+    for lang, x in sides.items():
+        for n in (60, 5000):
+            marginal, lettered, lengths = langid.mark_words([text(x, n)], model)
+            assert lengths.tolist() == [1] and lettered.all() and marginal[0, model.labels.index(lang)] > 0.9
