@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, in_batches, mixed, small, small_or, staged, table
+from .common import Sent, as_bytes, small, small_or, staged, table
 from .exchange import run_hashes, word_hashes
 from .graph import components
 
@@ -35,10 +36,12 @@ MAX_BITS = 3
 CELL = 256
 #: (bits of a segment, groups of segments); cells take all but MAX_BITS of the groups.
 GRIDS = [(2, 6), (1, 8), (1, 16)]
-#: Mixings and bounds of the sieve for near copies, and how many hashes a sketch holds.
-SIEVES = (0x51ED270B, 0x9E6C63D1, 0xC2B2AE35)
-SIEVE_BITS = 8
+#: How many hashes a sketch holds.
 SKETCH = 256
+#: Frequent shingles that a task reports from so many, and that are held; they only order prefixes, which is right in any order.
+REPORTED, COUNTED, HEAVY = 2000, 2_000_000, 50_000
+#: Members of a cell all of whose pairs are compared at once; in larger ones, neighbours up to so many places away in each round, then all others.
+WHOLE, ROUNDS, HUBS = 8, (4, 32), 4
 #: So many ids are broadcast at most (8 MB of them), so that texts need not move; more are joined by a shuffle.
 FEW = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -127,35 +130,10 @@ def stars(cell: np.ndarray, fp: np.ndarray, apart: int) -> tuple[np.ndarray, np.
     return fp[out], fp[label[out]]
 
 
-def nearest(cell: np.ndarray, fp: np.ndarray, accept: int, whole: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs at most `accept` bits apart: all pairs of cells of up to `whole` members, each member's nearest before it in larger ones."""
-    left, right, bits = [], [], []
-    at = np.arange(len(cell))
-    for d in range(1, len(cell)):
-        at = at[: np.searchsorted(at, len(cell) - d)]
-        at = at[cell[at] == cell[at + d]]
-        if not len(at):
-            break
-        apart = np.bitwise_count(fp[at] ^ fp[at + d])
-        near = apart <= accept
-        left.append(at[near])
-        right.append(at[near] + d)
-        bits.append(apart[near])
-    if not left:
-        return fp[:0], fp[:0]
-    i, j, b = np.concatenate(left), np.concatenate(right), np.concatenate(bits)
-    _, run, size = np.unique(cell, return_inverse=True, return_counts=True)
-    order = np.lexsort((i, b, j))
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = j[order][1:] != j[order][:-1]
-    take = order[first | (size[run[j[order]]] <= whole)]
-    return fp[j[take]], fp[i[take]]
-
-
-def _links(apart: int, accept: int | None = None):
+def _links(apart: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(c: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = stars(c, f.view(np.uint64), apart) if accept is None else nearest(c, f.view(np.uint64), accept)
+            a, b = stars(c, f.view(np.uint64), apart)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         c = f = np.zeros(0, dtype=np.int64)
@@ -171,11 +149,8 @@ def _links(apart: int, accept: int | None = None):
     return run
 
 
-def links(fps: DataFrame, apart: int = MAX_BITS, grids: list[tuple[int, int]] = GRIDS, most: int = CELL, accept: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (_fp) that connect all that are at most `apart` bits away.
-
-    With `accept`, pairs of a cell that are up to so many bits apart, to be verified by the caller: beyond `apart` some pairs share no cell.
-    """
+def links(fps: DataFrame, apart: int = MAX_BITS, grids: list[tuple[int, int]] = GRIDS, most: int = CELL) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (_fp) that connect all that are at most `apart` bits away."""
     found = None
     for level, (bits, groups) in enumerate(grids):
         wide = cells(fps, bits, groups, apart)
@@ -186,7 +161,7 @@ def links(fps: DataFrame, apart: int = MAX_BITS, grids: list[tuple[int, int]] =
             cold = wide.join(hot_cells, "cell", "left_anti")
         else:
             cold = wide
-        got = staged(cold.repartition("cell").sortWithinPartitions("cell", "_fp").mapInArrow(_links(apart, accept), "a long, b long"), "links")
+        got = staged(cold.repartition("cell").sortWithinPartitions("cell", "_fp").mapInArrow(_links(apart), "a long, b long"), "links")
         found = got if found is None else found.union(got)
         if hot is None or hot.isEmpty():
             break
@@ -209,21 +184,154 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A digest of each text, and three fingerprints of its set of words: bits set in over half of the words' hashes, under three mixings."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted hashes of the text's distinct runs of `words` words; a shorter text is one run, one without words has none."""
+    hashes, _ = word_hashes([text.translate(_LOWER)])
+    k = min(words, len(hashes))
+    at = np.arange(len(hashes) - k + 1 if k else 0)
+    return np.unique(run_hashes(hashes, at, at + k)) if k else np.zeros(0, np.uint64)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        whole = as_bytes(batch.column(1))
-        digests = [hashlib.md5(x).digest() for x in whole]
-        texts = [x.translate(_LOWER) for x in whole]
-        fps = np.zeros((len(SIEVES), len(texts)), dtype=np.uint64)
-        for some in in_batches(range(len(texts)), lambda i: len(texts[i]), 1_000_000):
-            hashes, counts = word_hashes([texts[i] for i in some])
-            for i, own in zip(some, np.split(hashes, np.cumsum(counts)[:-1])):
-                own = np.unique(own)
-                for k, seed in enumerate(SIEVES if len(own) else ()):
-                    bits = np.unpackbits(mixed(own ^ np.uint64(seed)).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-                    fps[k, i] = np.packbits(bits * 2 > len(own), bitorder="little").view("<u8")[0]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(f.view(np.int64), pa.int64()) for f in fps)], names=["_id", "_t", *(f"_f{k}" for k in range(len(SIEVES)))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(x).digest() for x in as_bytes(batch.column(1))], pa.binary())], names=["_id", "_t"])
+
+
+def _frequent(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(h, n) of the shingles that most texts of a task share."""
+
+        def most(held: list[np.ndarray]) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            top = np.argsort(-n, kind="stable")[:REPORTED]
+            top = top[n[top] > 1]
+            return pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["h", "n"])
+
+        held, size = [], 0
+        for batch in small(batches):
+            for text in as_bytes(batch.column(1)):
+                held.append(shingles(text, words))
+                size += len(held[-1])
+            if size > COUNTED:
+                yield most(held)
+                held, size = [], 0
+        yield most(held)
+
+    return run
+
+
+def _prefixes(heavy: Sent, words: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(token, _id, n, place): the rarest shingles of each text, so many that texts as similar as `least` share one of them."""
+        known, often = heavy.value
+        for batch in small(batches):
+            tokens, sizes = [], []
+            for text in as_bytes(batch.column(1)):
+                h = shingles(text, words)
+                h = h if len(h) else np.zeros(1, np.uint64)  # texts without words meet here
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
+                tokens.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1])
+                sizes.append(len(h))
+            if tokens:
+                each = [len(t) for t in tokens]
+                place = np.concatenate([np.arange(k) for k in each])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), each)), pa.array(np.repeat(sizes, each).astype(np.int32)), pa.array(place.astype(np.int32))], names=["token", "_id", "n", "place"])
+
+    return run
+
+
+_CELL = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary())])
+
+
+def _pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Each pair once, the greater id first."""
+    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    none = pa.nulls(len(both), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), none, none], schema=_CELL)
+
+
+def _cells(least: float, whole: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All pairs of small cells that may be similar enough, and larger cells, packed; rows come in order of token, n and id."""
+
+        def of(token: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+            sizes = np.diff(np.concatenate([starts, [len(token)]]))
+            at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= whole), sizes))
+            left, right = [ids[:0]], [ids[:0]]
+            for d in range(1, whole):
+                at = at[at + d < len(token)]
+                at = at[token[at] == token[at + d]]
+                need = np.ceil(least / (1 + least) * (n[at] + n[at + d]) - 1e-9)  # shingles in common
+                may = at[(1 + np.minimum(n[at] - place[at], n[at + d] - place[at + d]) - 1 + np.minimum(place[at], place[at + d]) >= need) & (n[at] >= least * n[at + d] - 1e-9)]
+                left.append(ids[may])
+                right.append(ids[may + d])
+            yield _pairs_of(np.concatenate(left), np.concatenate(right))
+            large = np.flatnonzero(sizes > whole)
+            spans = [(starts[k], starts[k] + sizes[k]) for k in large]
+            none = pa.nulls(len(spans), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([ids[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([n[x:y].tobytes() for x, y in spans], pa.binary())], schema=_CELL)
+
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
+            if len(held[0]):
+                cut = int(np.searchsorted(held[0], held[0][-1], "left"))
+                yield from of(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        yield from of(*held)
+
+    return run
+
+
+def _round(sent: Sent, least: float, after: int, upto: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of a packed cell that no links connect so far: neighbours after + 1 to `upto` places away, and all with those that have most links; without `upto`, all pairs."""
+        node, root, links_of = sent.value
+
+        def of(ids: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            group, degree = ids.copy(), np.zeros(len(ids), np.int64)
+            if len(node):
+                at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
+                have = node[at] == ids
+                group[have], degree[have] = root[at[have]], links_of[at[have]]
+            every = np.arange(len(ids))
+
+            def with_one(k: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                others = others[(group[others] != group[k]) & (np.minimum(n[others], n[k]) >= least * np.maximum(n[others], n[k]) - 1e-9)]
+                return np.full(len(others), ids[k]), ids[others]
+
+            names, which, count = np.unique(group, return_inverse=True, return_counts=True)
+            if len(names) == 1:
+                return
+            if upto is None:
+                largest = which == int(np.argmax(count))
+                for k in np.flatnonzero(~largest):
+                    yield with_one(k, every[largest | (every > k)])
+                return
+            for d in range(after + 1, min(upto + 1, len(ids))):
+                x, y = every[:-d], every[d:]
+                may = (group[x] != group[y]) & (n[x] >= least * n[y] - 1e-9)
+                yield ids[x[may]], ids[y[may]]
+            hubs = np.argsort(-degree, kind="stable")[:HUBS] if degree.any() else [0, len(ids) // 2]
+            for k in hubs:
+                yield with_one(k, every)
+
+        for batch in batches:
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                left, right, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+                for a, b in of(np.frombuffer(i, np.int64), np.frombuffer(s, np.int32)):
+                    left.append(a)
+                    right.append(b)
+                    size += len(a)
+                    if size > 500_000:
+                        yield _pairs_of(np.concatenate(left), np.concatenate(right)).select(["a", "b"])
+                        left, right, size = [a[:0]], [b[:0]], 0
+                yield _pairs_of(np.concatenate(left), np.concatenate(right)).select(["a", "b"])
+
+    return run
 
 
 def _sketches(words: int, size: int | None):
@@ -232,10 +340,7 @@ def _sketches(words: int, size: int | None):
         for batch in small(batches):
             out = []
             for text in as_bytes(batch.column(1)):
-                hashes, _ = word_hashes([text.translate(_LOWER)])
-                k = min(words, len(hashes))
-                at = np.arange(len(hashes) - k + 1 if k else 0)
-                out.append(np.unique(run_hashes(hashes, at, at + k))[:size].astype("<u8").tobytes() if k else b"")
+                out.append(shingles(text, words)[:size].astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["_id", "_sketch"])
 
     return run
@@ -267,26 +372,8 @@ def compared(df: DataFrame, pairs: DataFrame, words: int, size: int | None) -> D
     return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "_sa", "_sb").mapInArrow(_compared(size), "a long, b long, similarity double, exact boolean"), "compared")
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) of ids whose texts' shingles of `words` words have a similarity of `least` or more.
-
-    SimHash of word sets is the sieve: an edit of one word moves it far less than it moves a SimHash of shingles.  The same
-    segment-popcount grid proposes pairs up to SIEVE_BITS apart, for three mixings of the hashes.  Sketches of `size` hashes
-    settle pairs that are far from the bound; all shingles of the others are compared.  Texts with the same word set are compared with the first of them.  Copies are one text here; ids must tell texts apart.
-    """
-    df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
-    names = [f"_f{k}" for k in range(len(SIEVES))]
-    described = df.mapInArrow(_word_sets, "_id long, _t binary, " + ", ".join(f"{n} long" for n in names))
-    fps = staged(described.groupBy("_t").agg(F.min("_id").alias("_id"), *[F.min(n).alias(n) for n in names]).drop("_t"), "sieves")
-    pairs = None
-    for k in range(len(SIEVES)):
-        by_fp = staged(fps.groupBy(F.col(f"_f{k}").alias("_fp")).agg(F.min("_id").alias("_first")), "first")
-        same = fps.join(by_fp, F.col(f"_f{k}") == F.col("_fp")).select(F.col("_id").alias("a"), F.col("_first").alias("b"))
-        found = links(by_fp.select("_fp"), accept=SIEVE_BITS).distinct()
-        a, b = (by_fp.select(F.col("_fp").alias(c), F.col("_first").alias(f"_{c}")) for c in "ab")
-        far = found.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        pairs = same.union(far) if pairs is None else pairs.union(same).union(far)
-    pairs = staged(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+def _verified(df: DataFrame, pairs: DataFrame, words: int, least: float, size: int) -> DataFrame:
+    """The pairs that are as similar as `least`: sketches settle those far from the bound, all shingles the others."""
     margin = 4 * (0.25 / size) ** 0.5  # four standard errors of an estimate, at the most
     rough = compared(df, pairs, words, size)
     close = rough.where(~F.col("exact") & (F.abs(F.col("similarity") - least) < margin)).select("a", "b")
@@ -294,6 +381,42 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     return sure.union(compared(df, close, words, None)).where(F.col("similarity") >= least).select("a", "b")
 
 
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int = SKETCH, id_col: str = "doc_id", text_col: str = "text", whole: int = WHOLE) -> DataFrame:
+    """Links (a, b) of ids that connect all texts whose shingles of `words` words have a similarity of `least` or more.
+
+    Prefix filtering proposes pairs, and misses none: of texts with n shingles, n - ceil(least n) + 1 of each are taken in one
+    order of all shingles, rare ones first, so texts that are similar enough share one of these, which is their cell.  Cells
+    of up to `whole` texts give all pairs.  Larger ones go in rounds: near neighbours and those with most links first, and
+    in the last round all pairs that verified links do not connect yet.  So groups of near copies cost few pairs each,
+    and only texts that links connect anyway are not compared.  Copies are one text here; ids must tell texts apart.
+    """
+    df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
+    spark = df.sparkSession
+    first = staged(df.mapInArrow(_digests, "_id long, _t binary").groupBy("_t").agg(F.min("_id").alias("_id")).select("_id"), "first")
+    texts = df.join(small_or(first, FEW), "_id", "left_semi")
+    heavy = texts.mapInArrow(_frequent(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).collect()
+    h, n = (np.array([r[k] for r in heavy], dtype=np.int64) for k in (0, 1))
+    order = np.argsort(h.view(np.uint64))
+    rows = texts.mapInArrow(_prefixes(Sent(spark, (h.view(np.uint64)[order], n[order])), words, least), "token long, _id long, n int, place int")
+    met = staged(rows.repartition("token").sortWithinPartitions("token", "n", "_id").mapInArrow(_cells(least, whole), "a long, b long, ids binary, sizes binary"), "cells")
+    pairs = met.where("a is not null").select("a", "b").distinct()
+    large = staged(met.where("ids is not null").select("ids", "sizes").distinct(), "large")
+    many = not large.isEmpty()
+    found, nothing = None, np.zeros(0, np.int64)
+    known = (nothing, nothing, nothing)
+    for after, upto in zip((0, *ROUNDS), (*ROUNDS, None)) if many else [(0, None)]:
+        if many:
+            more = large.mapInArrow(_round(Sent(spark, known), least, after, upto), "a long, b long")
+            pairs = (more if found is not None else pairs.union(more)).distinct()
+        got = staged(_verified(df, staged(pairs, "pairs"), words, least, size), "verified")
+        found = got if found is None else found.union(got)
+        if upto is not None:
+            degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+            at = components(found.distinct()).distinct().join(degree, "node").select("node", "root", "n").orderBy("node").toArrow()
+            known = tuple(at[c].to_numpy().astype(np.int64) for c in ("node", "root", "n"))
+    return found
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, apart: int = MAX_BITS, words: int = 5, least: float = 0.8) -> DataFrame:
     """docs with the document of the least id of each group; of repeated rows of that id one stays.  Rows without an id all stay.
 

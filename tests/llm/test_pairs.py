@@ -192,3 +192,55 @@ def test_urls(spark):
     one = spark.createDataFrame([(1, "http://a.b.c/path/more")], "page_id long, url string")
     assert urls.judge_urls(one, [("block", "b.c", "/pa"), ("allow", "c", "/path/mo")]).first().rule == "c/path/mo"
     assert urls.judge_urls(df.limit(0)).count() == 0
+
+
+def plain_near_roots(texts, least=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_near_copies_lose_no_link(spark):
+    """A reordered text before its near copies, chains in one large cell, copies just above and below the bound, one passage in many texts."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(4000)]
+    texts = []
+    for n in (80, 120, 200):  # the same words in another order come first
+        base = rng.sample(words, n)
+        texts.append(" ".join(sorted(base)))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(n // 60):
+                k = rng.randrange(n - 1)
+                w[k], w[k + 1] = w[k + 1], w[k]
+            texts.append(" ".join(w))
+    now = rng.sample(words, 150)
+    for k in range(70):  # neighbours are similar, ends are not
+        now[rng.randrange(150)] = f"v{k}"
+        now[rng.randrange(150)] = f"u{k}"
+        texts.append(" ".join(now))
+    base = rng.sample(words, 100)
+    for k in range(60):  # each about 0.8 from the base, less from each other
+        w = list(base)
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(100)] = f"x{k}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base))
+    passage = rng.sample(words, 60)
+    texts += [" ".join(rng.sample(words, 10) + passage + rng.sample(words, rng.randint(4, 10))) for _ in range(40)]
+    texts += ["", " ", "one two", "One  two"]
+    order = rng.sample(range(12, len(texts)), len(texts) - 12)
+    texts = texts[:12] + [texts[k] for k in order]
+    want = plain_near_roots([t.lower() for t in texts])
+    for whole in (2, simhash.WHOLE):
+        links = simhash.near_copies(docs(spark, texts), whole=whole)
+        root = {r[0]: r[1] for r in simhash.components(links.distinct()).collect()}
+        assert [root.get(k, k) for k in range(len(texts))] == want
