@@ -6,8 +6,10 @@ decides: the token streams of its pages, without their articles, are concatenate
 of at least RUN tokens that occur on two pages with different streams are boilerplate, and a block that such runs cover
 for COVERED or more of its tokens goes.  Blocks with unique runs stay.
 
-Pages meet by host in groups of about GROUP_BYTES: small hosts share a group, a host with more is dealt over several, each
-large enough to show what the host repeats.  So a host with a third of all pages is spread over many tasks.
+Pages meet by host in groups of about GROUP_BYTES: small hosts share a group, a host with more is dealt over several.  What
+such a host repeats is counted over all its groups: 64-bit hashes of runs meet with those of their streams, and each
+group gets the repeated runs that it holds.  So a host with a third of all pages is spread over many tasks, and results
+do not depend on how hosts are dealt.
 
 Defined cases: null html is empty text; null url is a host of its own name (empty); repeated rows give the same text, as
 equal streams count once; markup that is cut off ends where it ends; if all blocks of a page would go, those that no markup
@@ -19,13 +21,16 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_or, staged, table
+from .common import WordHash, small, small_or, staged, table
+from .exchange import run_hashes
 from .urls import split_url
 
 RUN = 4
@@ -138,19 +143,45 @@ def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
     return np.split(covered, np.cumsum(sizes)[:-1])
 
 
-def main_texts(pages: list[str], run: int = RUN, share: float = COVERED) -> list[str]:
-    """The main text of each page; all are pages of one host."""
+def open_words(page: list[tuple[str, str]]) -> list[tuple[int, str]]:
+    """(block, word) of a page's stream: what stands outside its articles."""
+    return [(b, w) for b, (zone, text) in enumerate(page) if zone != "main" for w in text.split()]
+
+
+def stream_runs(held: WordHash, words: list[str], run: int) -> np.ndarray:
+    """The hash of each run of `run` words."""
+    hashes = held.of([w.encode("utf-8", "surrogatepass") for w in words])
+    at = np.arange(max(0, len(hashes) - run + 1))
+    return run_hashes(hashes, at, at + run) if len(at) else np.zeros(0, np.uint64)
+
+
+def covered_by(held: WordHash, words: list[str], run: int, known: np.ndarray) -> np.ndarray:
+    """Which words lie in a run whose hash is known (sorted)."""
+    hashes = stream_runs(held, words, run)
+    starts = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes) if len(known) else np.zeros(0, np.int64)
+    change = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + run, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def main_texts(pages: list[str], run: int = RUN, share: float = COVERED, known: np.ndarray | None = None) -> list[str]:
+    """The main text of each page; all are pages of one host.  known: sorted hashes of the runs that the host repeats, where these are not all its pages."""
     parsed = [blocks(p) for p in pages]
     number: dict[str, int] = {}
     streams, where, of = [], [], {}
     for k, page in enumerate(parsed):
-        words = [(b, w) for b, (zone, text) in enumerate(page) if zone != "main" for w in text.split()]
+        words = open_words(page)
         key = tuple(w for _, w in words)
         if key not in of:
             of[key] = len(streams)
             streams.append(np.array([number.setdefault(w, len(number)) for w in key], dtype=np.int64))
         where.append((of[key], np.array([b for b, _ in words], dtype=np.int64)))
-    covered = repeated(streams, run) if streams else []
+    if known is not None:
+        held = WordHash()
+        covered = [covered_by(held, list(key), run, known) for key in of]
+    else:
+        covered = repeated(streams, run) if streams else []
     out = []
     for page, (stream, owner) in zip(parsed, where):
         n = np.bincount(owner, minlength=len(page)) if len(owner) else np.zeros(len(page), int)
@@ -164,15 +195,45 @@ def main_texts(pages: list[str], run: int = RUN, share: float = COVERED) -> list
 _SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
+_RUNS = "_group long, run long, _part long, least long, most long"
+
+
+def _host_runs(run: int):
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each run of a batch's pages by host and part, with the least and greatest hash of the streams it is in."""
+        held = WordHash()
+        for batch in small(batches):
+            found = defaultdict(list)
+            for group, part, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words = [w for _, w in open_words(blocks(page or ""))]
+                hashes = np.unique(stream_runs(held, words, run))
+                if len(hashes):
+                    stream = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), 11)
+                    found[group, part].append((hashes, np.full(len(hashes), stream, np.uint64)))
+            for (group, part), each in found.items():
+                hashes, streams = (np.concatenate(x).view(np.int64) for x in zip(*each))
+                order = np.lexsort((streams, hashes))
+                hashes, streams = hashes[order], streams[order]
+                first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+                last = np.concatenate([first[1:], [len(hashes)]]) - 1
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group, np.int64)), pa.array(hashes[first]), pa.array(np.full(n, part, np.int64)), pa.array(streams[first]), pa.array(streams[last])], names=["_group", "run", "_part", "least", "most"])
+
+    return runs
+
+
 def _extract(run: int, share: float):
-    def extract(group: pa.Table) -> pa.Table:
+    def extract(group: pa.Table, repeats: pa.Table | None) -> pa.Table:
         hosts = defaultdict(list)
         for k, host in enumerate(group["_host"].to_pylist()):
             hosts[host].append(k)
         raw = group["_html"].to_pylist()
         texts = [""] * len(raw)
+        known = None
+        if repeats is not None and len(raw) and group["_part"][0].as_py() > 0:
+            known = np.unique(repeats["run"].to_numpy().astype(np.int64).view(np.uint64))
         for rows in hosts.values():
-            for k, text in zip(rows, main_texts([raw[k] or "" for k in rows], run, share)):
+            for k, text in zip(rows, main_texts([raw[k] or "" for k in rows], run, share, known)):
                 texts[k] = text
         return pa.table([group["_id"].cast(pa.int64()), group["_url"].cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -186,12 +247,20 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     by_host = staged(df.groupBy("_host").agg(F.sum(F.coalesce(F.octet_length("_html"), F.lit(0))).alias("_bytes")), "hosts")
     groups = max(8, -(-(by_host.agg(F.sum("_bytes")).first()[0] or 0) // group_bytes))
     large = by_host.where(F.col("_bytes") > group_bytes).select("_host", F.ceil(F.col("_bytes") / group_bytes).alias("_parts"))
+    split = not large.isEmpty()
     df = df.join(small_or(large, 100_000), "_host", "left")
     part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_id", "_url"), F.col("_parts")) + 1).otherwise(F.lit(0))
     name = F.when(F.col("_parts").isNotNull(), F.xxhash64("_host")).otherwise(F.pmod(F.xxhash64("_host"), F.lit(groups)))
     dealt = df.select(name.alias("_group"), part.cast("long").alias("_part"), "_id", "_url", "_host", "_html")
     # as many partitions as groups, so that a task's share does not grow with the input
-    return dealt.repartition(groups, "_group", "_part").groupBy("_group", "_part").applyInArrow(_extract(run, share), _SCHEMA)
+    by_group = dealt.repartition(groups, "_group", "_part").groupBy("_group", "_part")
+    extract = _extract(run, share)
+    if not split:
+        return by_group.applyInArrow(lambda group: extract(group, None), _SCHEMA)
+    runs = dealt.where("_part > 0").select("_group", "_part", "_html").mapInArrow(_host_runs(run), _RUNS)
+    twice = runs.groupBy("_group", "run").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_set("_part").alias("parts")).where("least <> most")
+    repeats = staged(twice.select("_group", F.explode("parts").alias("_part"), "run"), "repeats").repartition(groups, "_group", "_part")
+    return by_group.cogroup(repeats.groupBy("_group", "_part")).applyInArrow(lambda group, own: extract(group, own), _SCHEMA)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

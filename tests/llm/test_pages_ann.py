@@ -53,6 +53,24 @@ def test_extract_pages(spark, sf):
     assert len(few) == 50 and all(r.text and r.n_chars == len(r.text) for r in few)
 
 
+def test_repeats_are_the_hosts(spark):
+    """What two pages of a large host share goes however its pages are dealt."""
+    rng = random.Random(6)
+
+    def page(k):
+        own = " ".join(f"w{k}x{j}" for j in range(30))
+        pair = f"only two pages have notice {k // 2} of this kind"
+        return f"<body><div>Welcome to our site dear guest</div><div>{own}</div><div>{pair}</div><article>Same article text everywhere here</article></body>"
+
+    rows = [(k, f"http://hot/{k}", page(k)) for k in range(40)] + [(100 + k, f"http://cold{k}/", page(k)) for k in range(6)]
+    rows += [rows[3], (None, "http://hot/x", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted(map(str, pages.extract_pages(df, group_bytes=b).collect())) for b in (10**6, 3000, 500)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 48
+    assert not any("notice" in x or "Welcome" in x for x in got[0] if "http://hot/" in x)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
