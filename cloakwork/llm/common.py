@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import pickle
 import tempfile
 import uuid
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Spark drops the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that one shard holds on average; a shard is what one Python task has in memory.
 SHARD_BYTES = 12_000_000
 
@@ -25,8 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on one machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not at and not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="cloakwork-"))
     return (at or _OWN[0]).rstrip("/")
@@ -43,20 +46,26 @@ def _delete(spark: SparkSession, path: str) -> None:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends here, and lost executors cost nothing.
 
-    The table goes when the program ends.
+    Shuffle files of the job go as it ends; the table goes with `dropped`, or when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_delete, spark, path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs, which it does when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._staged_at)
 
 
 class Sent:

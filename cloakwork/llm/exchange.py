@@ -19,6 +19,8 @@ MESSAGE = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("kind", pa.
 MESSAGE_DDL = "bucket int, shard int, kind byte, keys binary, counts binary"
 ANSWER = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int8()), ("values", pa.binary())])
 ANSWER_DDL = "shard int, bucket int, kind byte, values binary"
+#: Bytes of text whose keys one bucket holds on average: as a bucket is what one Python task has in memory.
+BUCKET_BYTES = 24_000_000
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -75,18 +77,39 @@ def widen(data: bytes) -> np.ndarray:
     return np.frombuffer(data, ("u1", "<u2", "<u4", "<u8")[data[0]], offset=1).astype(np.int64)
 
 
-def by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Limits of each bucket in sorted keys: buckets are ranges of the upper bits."""
-    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the low bytes of their differences, as many as most need; the few wider ones follow, whole."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    width = 8
+    while width > 1 and np.count_nonzero(gaps >> np.uint64(8 * (width - 1))) * 12 < len(gaps):
+        width -= 1
+    wide = np.flatnonzero(gaps >> np.uint64(8 * width)) if width < 8 else np.zeros(0, np.int64)
+    head = np.array([width, len(keys), len(wide)], "<u4").tobytes()
+    return head + wide.astype("<u4").tobytes() + gaps[wide].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width, n, m = np.frombuffer(data, "<u4", 3).tolist()
+    at = np.frombuffer(data, "<u4", m, 12)
+    low = np.zeros((n, 8), dtype=np.uint8)
+    low[:, :width] = np.frombuffer(data, np.uint8, n * width, 12 + 12 * m).reshape(n, width)
+    gaps = low.view("<u8").ravel()
+    gaps[at] = np.frombuffer(data, "<u8", m, 12 + 4 * m)
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that have keys, limits of each in the sorted keys): buckets are ranges of the upper 32 bits."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    full, first = np.unique(of, return_index=True)
+    return full, np.concatenate([first, [len(keys)]])
 
 
 def messages(shard: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
     """What a shard sends: keys are sorted, each once."""
-    limits = by_bucket(keys, buckets)
-    full = [b for b in range(buckets) if limits[b + 1] > limits[b]]
-    parts = [(limits[b], limits[b + 1]) for b in full]
-    return pa.table([pa.array(full, pa.int32()), pa.array([shard] * len(full), pa.int32()), pa.array([kind] * len(full), pa.int8()), pa.array([keys[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([narrow(counts[a:b]) for a, b in parts], pa.binary())], schema=MESSAGE)
+    full, limits = by_bucket(keys, buckets)
+    parts = list(zip(limits[:-1].tolist(), limits[1:].tolist()))
+    return pa.table([pa.array(full, pa.int32()), pa.array([shard] * len(full), pa.int32()), pa.array([kind] * len(full), pa.int8()), pa.array([packed(keys[a:b]) for a, b in parts], pa.binary()), pa.array([narrow(counts[a:b]) for a, b in parts], pa.binary())], schema=MESSAGE)
 
 
 def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:

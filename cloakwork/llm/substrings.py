@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, in_batches, mixed, shards_for, staged, table
-from .exchange import ANSWER, ANSWER_DDL, MESSAGE_DDL, added, deal, messages, narrow, received, run_hashes, word_hashes
+from .exchange import ANSWER, ANSWER_DDL, MESSAGE_DDL, added, deal, messages, narrow, received, run_hashes, unpacked, word_hashes
 
 WINDOW = 35
 RUN = 8
@@ -99,7 +99,7 @@ def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _repeats(bucket: pa.Table) -> pa.Table:
     """Answers a bit a key: does it occur twice or more?"""
-    keys = [np.frombuffer(x, np.uint64) for x in bucket["keys"].to_pylist()]
+    keys = [unpacked(x) for x in bucket["keys"].to_pylist()]
     counts = [np.frombuffer(x, np.uint8, offset=1).astype(np.int64) for x in bucket["counts"].to_pylist()]
     _, totals = added(keys, counts)
     return pa.table([bucket["shard"], bucket["bucket"], bucket["kind"], pa.array([narrow((t > 1).astype(np.uint8)) for t in totals], pa.binary())], schema=ANSWER)

@@ -80,43 +80,63 @@ def test_substring_stage(spark):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
-def plain_scores(rows, k):
+def plain_scores(rows, k, least):
     def tokens(t):
         return [*WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None]
 
     learn = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     c = Counter(x for t in learn for x in t)
     pairs = Counter(p for t in learn for p in zip([0, *t], t))
+    triples = Counter(p for t in learn for p in zip([0, *t], t, t[1:]))
     n, v, start = sum(c.values()), len(c), len(learn)
     out = []
     for i, t in rows:
         t = tokens(t)
-        base = [math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t]
-        full = [math.log10((pairs[u, x] + k * 10**b) / ((start if u == 0 else c[u]) + k)) for u, x, b in zip([0, *t], t, base)]
-        out.append((i, zlib.crc32(str(i).encode()) % 5 == 1, len(t), sum(c[x] > 0 for x in t), n, sum(base), sum(full)))
+        base = [(c[x] + 0.5) / (n + 0.5 * (v + 1)) for x in t]
+        two = [(pairs[u, x] + k[0] * b) / ((start if u == 0 else c[u]) + k[0]) for u, x, b in zip([0, *t], t, base)]
+        full = [p if u is None or pairs[u, w] < least else (triples[u, w, x] + k[1] * p) / (pairs[u, w] + k[1]) for u, w, x, p in zip([None, 0, *t], [0, *t], t, two)]
+        out.append((i, zlib.crc32(str(i).encode()) % 5 == 1, len(t), sum(c[x] > 0 for x in t), n, sum(map(math.log10, base)), sum(map(math.log10, full))))
     return out
 
 
-def test_scores_by_brute_force(spark):
-    texts = some_texts(random.Random(4)) + ["A a A a b", "a a a a b"]
-    got = lm.score_texts(docs(spark, texts), lm.crc_mod(F.col("doc_id"), 5) != 1, shards=3).orderBy("doc_id").collect()
-    for r, want in zip(got, plain_scores(list(enumerate(texts)), lm.K), strict=True):
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_scores_by_brute_force(spark, least):
+    rng = random.Random(4)
+    texts = some_texts(rng) + ["A a A a b", "a a a a b"] + [" ".join(rng.choice("a b c dd".split()) for _ in range(n)) for n in (1, 2, 191, 192, 193, 194, 385, 2000)]
+    got = lm.score_texts(docs(spark, texts), lm.crc_mod(F.col("doc_id"), 5) != 1, shards=3, least=least).orderBy("doc_id").collect()
+    for r, want in zip(got, plain_scores(list(enumerate(texts)), lm.K, least), strict=True):
         assert tuple(r)[:5] == want[:5] and r.base_score == pytest.approx(want[5]) and r.score == pytest.approx(want[6])
 
 
-def test_scores_add_up():
-    """From any state, probabilities of all known words and one unknown are 1."""
-    words = np.arange(1, 6, dtype=np.uint64)
-    counts = np.array([5, 3, 1, 2, 0])
-    n, v, k = 11, 4, 20.0
-    model = lm.Automaton(words, counts, np.arange(5), np.array([2, 0, 1, 0, 0]), n, v, k)
-    for state in range(4):
-        counts_of = model.counts.copy()
-        model.pair_counts = np.array([2, 0, 1, 0, 0]) if counts_of[state] >= 3 else np.zeros(5, int)
-        model.pair_counts[0] += max(0, counts_of[state] - model.pair_counts.sum())
-        model.seen = model.pair_counts > 0
-        weight = model.run(None, np.arange(5), np.full(5, state), np.arange(5))
-        assert (10**weight).sum() == pytest.approx(1.0)
+def test_states_add_up():
+    """From any state, probabilities of all known words and one unknown are 1; some arcs lead to states of pairs."""
+    text = [1, 2, 1, 2, 3, 1, 2, 1, 1, 2, 3, 0]  # 4 is the start, 5 unknown
+    before = [4, *text[:-1]]
+    c, n, v = Counter(text), len(text), 4
+    counts = np.array([c[w] for w in range(4)] + [1, 0])
+    pairs = sorted(set(zip(before, text)))
+    number = {p: i for i, p in enumerate(pairs)}
+    pair_counts = np.array([Counter(zip(before, text))[p] for p in pairs])
+    three = Counter(zip(before, text, text[1:]))
+    triples = sorted(three)
+    model = lm.Automaton(counts, np.array(pairs), pair_counts, np.array([(number[a, b], number[b, w]) for a, b, w in triples]), np.array([three[x] for x in triples]), n, v, (20.0, 5.0), 2)
+    assert model.targets.max() > len(counts)
+    for state in range(len(model.failure)):
+        if state not in (1, 6):  # nothing follows the end or an unknown word
+            after, weight = model.step(np.full(5, state), np.array([0, 1, 2, 3, 5]))
+            assert (10**weight).sum() == pytest.approx(1.0)
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(2)
+    for keys in (rng.integers(0, 1 << 64, 5000, dtype=np.uint64), rng.integers(0, 300, 50, dtype=np.uint64), np.zeros(0, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)):
+        keys = np.unique(keys)
+        data = exchange.packed(keys)
+        assert np.array_equal(exchange.unpacked(data), keys)
+        for buckets in (1, 3, 100, 70_000):
+            full, limits = exchange.by_bucket(keys, buckets)
+            assert limits[-1] == len(keys) and [int(k) * buckets >> 64 for k in keys] == np.repeat(full, np.diff(limits)).tolist() or buckets > 1 << 16
+    assert len(exchange.packed(np.unique(rng.integers(0, 1 << 64, 600_000, dtype=np.uint64)))) < 6.1 * 600_000
 
 
 def test_held_out_beats_unigrams(spark, sf):
@@ -132,7 +152,10 @@ def test_folder_where_none_is_named():
 
     from cloakwork.llm import common
 
-    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="local[2]"))
     assert common.shared_dir(unset).startswith("file:///") and common.shared_dir(unset) == common.shared_dir(unset)
     named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://x/y/"))
     assert common.shared_dir(named) == "hdfs://x/y"
+    unset.sparkContext.master = "yarn"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(unset)
