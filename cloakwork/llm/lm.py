@@ -98,9 +98,9 @@ def _send(buckets: int):
     return send
 
 
-def _arcs(t: Tokens, pairs: np.ndarray, pair_counts: np.ndarray, least: int) -> np.ndarray:
-    """Places of the tokens whose pair before is a state."""
-    state = pair_counts[np.searchsorted(pairs, t.pair)] >= least
+def _arcs(t: Tokens, pair_at: np.ndarray, pair_counts: np.ndarray, least: int) -> np.ndarray:
+    """Places of the tokens whose pair before is a state; pair_at: the place of each token's pair among the distinct ones."""
+    state = (pair_counts >= least)[pair_at]
     at = np.flatnonzero(t.second)
     return at[state[at - 1]]
 
@@ -110,7 +110,7 @@ def _send_triples(buckets: int, least: int):
         if not docs.num_rows:
             return MESSAGE.empty_table()
         t = Tokens(as_bytes(docs["_text"].combine_chunks()))
-        at = _arcs(t, np.unique(t.pair), received(answers, _PAIRS), least)
+        at = _arcs(t, np.unique(t.pair, return_inverse=True)[1], received(answers, _PAIRS), least)
         return messages(docs["_shard"][0].as_py(), _TRIPLES, *_counted(t.triples(at), _learned(docs, t)[at]), buckets)
 
     return send
@@ -224,9 +224,9 @@ def _score(n: int, v: int, k: tuple[float, float], least: int):
         t = Tokens(as_bytes(docs["_text"].combine_chunks()))
         words, word_at = t.words()
         start = int(np.searchsorted(words, _START))
-        pairs, first, pair_at = np.unique(t.pair, return_index=True, return_inverse=True)
+        _, first, pair_at = np.unique(t.pair, return_index=True, return_inverse=True)
         pair_counts = received(answers, _PAIRS)
-        at = _arcs(t, pairs, pair_counts, least)
+        at = _arcs(t, pair_at, pair_counts, least)
         _, one = np.unique(t.triples(at), return_index=True)
         end = at[one]  # a place of each triple's last token
         before = np.concatenate([[start], word_at[:-1]])
