@@ -80,16 +80,49 @@ def test_quality_edges(spark):
 
 
 def test_co_training_exchanges():
-    """A view that knows nothing learns from what the other one is sure of."""
+    """A view that knows little learns from what the other one is sure of."""
     rng = np.random.default_rng(3)
     n = 900
     y = (np.arange(n) % 3 == 0).astype(float)
     labelled = np.arange(n) < 300
-    texts = [np.array([7 if y[i] else 8, 100 + int(rng.integers(50))]) for i in range(n)]
-    metas = [[int(y[i])] for i in range(n)]
-    t = quality.Target(y, labelled, texts, np.zeros((n, 2)), metas, 2, 0.95)
-    p = t.probability([np.array(sorted(t.columns[f] for f in x.tolist() if f in t.columns), dtype=int) for x in texts], np.zeros((n, 2)), metas)
+    texts = [sorted({7 if y[i] else 8, 100 + int(rng.integers(50))}) for i in range(n)]
+    metas = [[int(y[i]) if rng.random() < 0.97 else int(rng.integers(2))] for i in range(n)]
+    t = quality.Target(y, labelled, quality.flat(texts), np.zeros((n, 2)), quality.flat(metas), 2, 0.9, 100)
+    place = {f: k for k, f in enumerate(t.columns.tolist())}
+    p = t.probability([np.array([place[f] for f in x if f in place], dtype=int) for x in texts], np.zeros((n, 2)), quality.flat(metas))
     assert ((p > 0.5) == (y == 1)).mean() > 0.99
+    assert len(t.exchanged) == 2 and min(min(x) for x in t.exchanged[0]) > 0 and t.curve[0] > 0 and t.curve[1] > 0
+
+
+def test_co_training_on_labels(spark):
+    """For low quality both views get labels from each other and count; in these tables metadata says nothing of toxic, so it need not."""
+    sf = "/root/testdata/sf0.1"
+    docs_now, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where("doc_id % 5 = 0")
+    targets = quality.train(docs_now, labels.where("doc_id % 5 <> 0"))
+    for name, t in targets.items():
+        print(name, "exchanged:", t.exchanged, "weights:", t.curve)
+        assert sum(t.exchanged[0][0]) > 0 and t.curve[0] > 0
+        assert name == "toxic" or sum(t.exchanged[0][1]) > 0 and t.curve[1] > 0
+    df = docs_now.join(held.select("doc_id"), "doc_id", "left_semi").toPandas().merge(held.toPandas(), on="doc_id")
+    for name, y in (("low", (df.quality == 0).to_numpy()), ("toxic", (df.toxic == 1).to_numpy())):
+        t = targets[name]
+        place = {f: k for k, f in enumerate(t.columns.tolist())}
+        words = [[place[f] for f in {x for w in set(text.lower().split()) for x in quality.stems(w)} if f in place] for text in df.text]
+        shapes = np.array([quality.shape(x, x.split()) for x in df.text])
+        metas = quality.flat([quality.metadata(a, b, len(c)) for a, b, c in zip(df.lang, df.source, df.text)])
+        both = t.probability([np.array(x, dtype=int) for x in words], shapes, metas)
+        text = np.array([t.text.w[x].sum() for x in words]) + t.text.b
+        right = ((both >= 0.5) == y).mean()
+        assert right >= ((text >= 0) == y).mean() and right > 0.98
+
+
+def test_quality_sample_is_bounded(spark):
+    """Null ids and repeated ids don't widen the sample, and it has as many rows as asked for."""
+    rows = [(i, f"t{i}", "en", "s", 2) for i in range(300)] + [(7, "other", "en", "s", 5)] * 200 + [(None, "none", "en", "s", 4)] * 200
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    got = quality.sample(spark.createDataFrame(rows, DOC), labels, 40, 30).collect()
+    assert len(got) == len({r[0] for r in got}) == 70 and sum(r.low is None for r in got) == 30 and all((r[0] % 2 == 0) == (r.low is not None) for r in got)
 
 
 NAMES = "_id _text _rest _fp _stay _shard cell root label node a b count n_words kept text2 _low _toxic bucket shard kind".split()
