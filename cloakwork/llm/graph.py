@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links (a, b), a > b.  Large: greater neighbours of each node go to its least neighbour; small: lesser ones do."""
+#: A node with over 1/SHARE of all links, and HUB of them, is a hub; there are at most 2 SHARE of these.
+HUB, SHARE = 1000, 10_000
+
+
+def _star(links: DataFrame, large: bool, count: int) -> DataFrame:
+    """links (a, b), a > b.  Large: greater neighbours of each node go to its least neighbour; small: lesser ones do.
+
+    Hubs are few, so their least neighbours are broadcast and their links stay where they are; those of others move.
+    """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    found = both.join(least, "a")
+    per = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    least = per.select("a", "m")
+    if count > HUB:
+        hubs = staged(per.where(F.col("n") > max(HUB, count // SHARE)).select("a", F.col("m").alias("h")), "hubs")
+        marked = both.join(F.broadcast(hubs), "a", "left")
+        found = marked.where("h is null").select("a", "b").join(least, "a").union(marked.where("h is not null").select("a", "b", "h"))
+    else:
+        found = both.join(least, "a")
     if large:
         out = found.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -33,4 +46,6 @@ def components(links: DataFrame) -> DataFrame:
         if new == state or new[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         state = new
-        now = staged(_star(_star(now, True), False), "stars")
+        half = staged(_star(now, True, new[0]), "half")
+        old, now = now, staged(_star(half, False, new[0]), "stars")
+        dropped(old, half)

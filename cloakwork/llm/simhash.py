@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sent, as_bytes, small, small_or, staged, table
+from .common import Sent, as_bytes, dropped, mixed, small, small_or, staged, table
 from .exchange import run_hashes, word_hashes
 from .graph import components
 
@@ -42,6 +42,8 @@ SKETCH = 256
 REPORTED, COUNTED, HEAVY = 2000, 2_000_000, 50_000
 #: Members of a cell all of whose pairs are compared at once; in larger ones, neighbours up to so many places away in each round, then all others.
 WHOLE, ROUNDS, HUBS = 8, (4, 32), 4
+#: Standard errors from the bound at which a signature settles a pair, for large and for small sets; least size that it settles.
+FAR, FARTHER, FEWER, SHORT = 5, 7, 50, 8
 #: So many ids are broadcast at most (8 MB of them), so that texts need not move; more are joined by a shuffle.
 FEW = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -220,15 +222,42 @@ def _frequent(words: int):
     return run
 
 
+def signature(h: np.ndarray) -> tuple[int, int]:
+    """SimHash of a set of shingle hashes, in two words of 64 bits (signed)."""
+    out = []
+    for x in (h, mixed(h)):
+        bits, n = np.zeros(64, dtype=np.int64), len(x)
+        for at in range(0, n, 50_000):
+            bits += np.unpackbits(x[at : at + 50_000].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        out.append(int(np.packbits(bits * 2 > n, bitorder="little").view("<i8")[0]))
+    return out[0], out[1]
+
+
+def may_be_near(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows (size, signature, signature) of x and y may be as similar as `least`.
+
+    Bits of signatures differ with the angle between the sets over pi; FAR standard errors beyond that at `least` are
+    out.  That is a limit for large sets, so those of up to FEWER shingles get FARTHER, and the smallest always may be.
+    """
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    apart = np.bitwise_count((x[:, 1:] ^ y[:, 1:]).view(np.uint64)).sum(1, dtype=np.int64)
+    sizes = np.minimum(x[:, 0], y[:, 0])
+    return (sizes >= least * np.maximum(x[:, 0], y[:, 0]) - 1e-9) & ((apart <= 128 * p + np.where(sizes <= FEWER, FARTHER, FAR) * math.sqrt(128 * p * (1 - p))) | (sizes < SHORT))
+
+
+_PREFIX_DDL = "token long, at long, _id long, s1 long, s2 long"
+
+
 def _prefixes(heavy: Sent, words: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(token, _id, n, place): the rarest shingles of each text, so many that texts as similar as `least` share one of them."""
+        """(token, at, _id, signature): the rarest shingles of each text, so many that texts as similar as `least` share one of them; at: size and place."""
         known, often = heavy.value
         for batch in small(batches):
-            tokens, sizes = [], []
+            tokens, sizes, signed = [], [], []
             for text in as_bytes(batch.column(1)):
                 h = shingles(text, words)
                 h = h if len(h) else np.zeros(1, np.uint64)  # texts without words meet here
+                signed.append(signature(h))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
@@ -237,44 +266,49 @@ def _prefixes(heavy: Sent, words: int, least: float):
             if tokens:
                 each = [len(t) for t in tokens]
                 place = np.concatenate([np.arange(k) for k in each])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), each)), pa.array(np.repeat(sizes, each).astype(np.int32)), pa.array(place.astype(np.int32))], names=["token", "_id", "n", "place"])
+                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                both = np.array(signed, dtype=np.int64).reshape(-1, 2)
+                columns = [np.concatenate(tokens).view(np.int64), (np.repeat(np.array(sizes, np.int64), each) << 32) + place, *(np.repeat(x, each) for x in (ids, both[:, 0], both[:, 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "at", "_id", "s1", "s2"])
 
     return run
 
 
-_CELL = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary())])
+_CELL = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
 
 
 def _pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Each pair once, the greater id first."""
     both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    none = pa.nulls(len(both), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), none, none], schema=_CELL)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.binary())], schema=_CELL)
 
 
 def _cells(least: float, whole: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All pairs of small cells that may be similar enough, and larger cells, packed; rows come in order of token, n and id."""
+        """All pairs of small cells that may be similar enough, and larger cells, packed; rows come in order of token, size and id."""
 
-        def of(token: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def of(token: np.ndarray, at: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             sizes = np.diff(np.concatenate([starts, [len(token)]]))
-            at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= whole), sizes))
+            row = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= whole), sizes))
+            n, place = at >> 32, at & 0xFFFFFFFF
+            members = np.stack([n, s1, s2], 1)
             left, right = [ids[:0]], [ids[:0]]
             for d in range(1, whole):
-                at = at[at + d < len(token)]
-                at = at[token[at] == token[at + d]]
-                need = np.ceil(least / (1 + least) * (n[at] + n[at + d]) - 1e-9)  # shingles in common
-                may = at[(1 + np.minimum(n[at] - place[at], n[at + d] - place[at + d]) - 1 + np.minimum(place[at], place[at + d]) >= need) & (n[at] >= least * n[at + d] - 1e-9)]
+                row = row[row + d < len(token)]
+                row = row[token[row] == token[row + d]]
+                need = np.ceil(least / (1 + least) * (n[row] + n[row + d]) - 1e-9)  # shingles in common
+                may = row[np.minimum(n[row] - place[row], n[row + d] - place[row + d]) + np.minimum(place[row], place[row + d]) >= need]
+                may = may[may_be_near(members[may], members[may + d], least)]
                 left.append(ids[may])
                 right.append(ids[may + d])
             yield _pairs_of(np.concatenate(left), np.concatenate(right))
             large = np.flatnonzero(sizes > whole)
-            spans = [(starts[k], starts[k] + sizes[k]) for k in large]
-            none = pa.nulls(len(spans), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array([ids[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([n[x:y].tobytes() for x, y in spans], pa.binary())], schema=_CELL)
+            packs = [np.column_stack([ids[x:y], members[x:y]]).astype("<i8").tobytes() for x, y in ((starts[k], starts[k] + sizes[k]) for k in large)]
+            none = pa.nulls(len(packs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(packs, pa.binary())], schema=_CELL)
 
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        held = [np.zeros(0, np.int64)] * 5
         for batch in batches:
             held = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
             if len(held[0]):
@@ -291,7 +325,8 @@ def _round(sent: Sent, least: float, after: int, upto: int | None):
         """Pairs of a packed cell that no links connect so far: neighbours after + 1 to `upto` places away, and all with those that have most links; without `upto`, all pairs."""
         node, root, links_of = sent.value
 
-        def of(ids: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def of(cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            ids, members = cell[:, 0], cell[:, 1:]
             group, degree = ids.copy(), np.zeros(len(ids), np.int64)
             if len(node):
                 at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
@@ -299,9 +334,11 @@ def _round(sent: Sent, least: float, after: int, upto: int | None):
                 group[have], degree[have] = root[at[have]], links_of[at[have]]
             every = np.arange(len(ids))
 
-            def with_one(k: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                others = others[(group[others] != group[k]) & (np.minimum(n[others], n[k]) >= least * np.maximum(n[others], n[k]) - 1e-9)]
-                return np.full(len(others), ids[k]), ids[others]
+            def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                may = group[x] != group[y]
+                x, y = x[may], y[may]
+                may = may_be_near(members[x], members[y], least)
+                return ids[x[may]], ids[y[may]]
 
             names, which, count = np.unique(group, return_inverse=True, return_counts=True)
             if len(names) == 1:
@@ -309,20 +346,19 @@ def _round(sent: Sent, least: float, after: int, upto: int | None):
             if upto is None:
                 largest = which == int(np.argmax(count))
                 for k in np.flatnonzero(~largest):
-                    yield with_one(k, every[largest | (every > k)])
+                    others = every[largest | (every > k)]
+                    yield near(np.full(len(others), k), others)
                 return
             for d in range(after + 1, min(upto + 1, len(ids))):
-                x, y = every[:-d], every[d:]
-                may = (group[x] != group[y]) & (n[x] >= least * n[y] - 1e-9)
-                yield ids[x[may]], ids[y[may]]
+                yield near(every[:-d], every[d:])
             hubs = np.argsort(-degree, kind="stable")[:HUBS] if degree.any() else [0, len(ids) // 2]
             for k in hubs:
-                yield with_one(k, every)
+                yield near(np.full(len(ids), k), every)
 
         for batch in batches:
-            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for pack in batch.column(0).to_pylist():
                 left, right, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-                for a, b in of(np.frombuffer(i, np.int64), np.frombuffer(s, np.int32)):
+                for a, b in of(np.frombuffer(pack, "<i8").reshape(-1, 4)):
                     left.append(a)
                     right.append(b)
                     size += len(a)
@@ -367,9 +403,12 @@ def _compared(size: int | None):
 def compared(df: DataFrame, pairs: DataFrame, words: int, size: int | None) -> DataFrame:
     """pairs (a, b) of ids in df (_id, _text) with the similarity of their shingles, and whether it is exact."""
     ends = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    sketch = staged(df.join(small_or(staged(ends, "ends"), FEW), "_id", "left_semi").mapInArrow(_sketches(words, size), "_id long, _sketch binary").dropDuplicates(["_id"]), "sketches")
+    ends = staged(ends, "ends")
+    sketch = staged(df.join(small_or(ends, FEW), "_id", "left_semi").mapInArrow(_sketches(words, size), "_id long, _sketch binary").dropDuplicates(["_id"]), "sketches")
     a, b = (sketch.select(F.col("_id").alias(c), F.col("_sketch").alias(f"_s{c}")) for c in "ab")
-    return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "_sa", "_sb").mapInArrow(_compared(size), "a long, b long, similarity double, exact boolean"), "compared")
+    out = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "_sa", "_sb").mapInArrow(_compared(size), "a long, b long, similarity double, exact boolean"), "compared")
+    dropped(ends, sketch)
+    return out
 
 
 def _verified(df: DataFrame, pairs: DataFrame, words: int, least: float, size: int) -> DataFrame:
@@ -388,7 +427,8 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     order of all shingles, rare ones first, so texts that are similar enough share one of these, which is their cell.  Cells
     of up to `whole` texts give all pairs.  Larger ones go in rounds: near neighbours and those with most links first, and
     in the last round all pairs that verified links do not connect yet.  So groups of near copies cost few pairs each,
-    and only texts that links connect anyway are not compared.  Copies are one text here; ids must tell texts apart.
+    and only texts that links connect anyway are not compared.  Signatures - SimHash again, of 128 bits - travel with the
+    shingles and settle in the cell which pairs are far from the bound.  Copies are one text here; ids must tell texts apart.
     """
     df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
     spark = df.sparkSession
@@ -397,10 +437,10 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     heavy = texts.mapInArrow(_frequent(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).collect()
     h, n = (np.array([r[k] for r in heavy], dtype=np.int64) for k in (0, 1))
     order = np.argsort(h.view(np.uint64))
-    rows = texts.mapInArrow(_prefixes(Sent(spark, (h.view(np.uint64)[order], n[order])), words, least), "token long, _id long, n int, place int")
-    met = staged(rows.repartition("token").sortWithinPartitions("token", "n", "_id").mapInArrow(_cells(least, whole), "a long, b long, ids binary, sizes binary"), "cells")
+    rows = texts.mapInArrow(_prefixes(Sent(spark, (h.view(np.uint64)[order], n[order])), words, least), _PREFIX_DDL)
+    met = staged(rows.repartition("token").sortWithinPartitions("token", "at", "_id").mapInArrow(_cells(least, whole), "a long, b long, members binary"), "cells")
     pairs = met.where("a is not null").select("a", "b").distinct()
-    large = staged(met.where("ids is not null").select("ids", "sizes").distinct(), "large")
+    large = staged(met.where("members is not null").select("members").distinct(), "large")
     many = not large.isEmpty()
     found, nothing = None, np.zeros(0, np.int64)
     known = (nothing, nothing, nothing)

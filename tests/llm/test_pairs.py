@@ -244,3 +244,32 @@ def test_near_copies_lose_no_link(spark):
         links = simhash.near_copies(docs(spark, texts), whole=whole)
         root = {r[0]: r[1] for r in simhash.components(links.distinct()).collect()}
         assert [root.get(k, k) for k in range(len(texts))] == want
+
+
+def test_signatures_keep_near_sets():
+    """No pair of sets at the bound or above is settled by its signature, whatever the sizes; most far ones are."""
+    rng = np.random.default_rng(9)
+    for n in (5, 8, 9, 10, 12, 16, 25, 50, 51, 80, 300):
+        near, far = [], []
+        for _ in range(300):
+            common = int(np.ceil(0.8 * n))
+            a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            b = np.concatenate([a[:common], rng.integers(0, 1 << 64, int(common / 0.8 - n + 1e-9), dtype=np.uint64)])
+            near.append([(len(a), *simhash.signature(a)), (len(b), *simhash.signature(b))])
+            c = np.concatenate([a[: n // 5], rng.integers(0, 1 << 64, n - n // 5, dtype=np.uint64)])
+            far.append([(len(a), *simhash.signature(a)), (len(c), *simhash.signature(c))])
+        near, far = np.array(near, dtype=np.int64), np.array(far, dtype=np.int64)
+        assert simhash.may_be_near(near[:, 0], near[:, 1], 0.8).all()
+        assert n <= 50 or simhash.may_be_near(far[:, 0], far[:, 1], 0.8).mean() < 0.05
+
+
+def test_hubs(spark, monkeypatch):
+    """One node with most of the links, and chains."""
+    from cloakwork.llm import graph
+
+    links = [(k, 0) for k in range(1, 300)] + [(1000 + k, 1001 + k) for k in range(20)] + [(1010, 299), (5000, 4000)]
+    df = spark.createDataFrame(links, "a long, b long")
+    for hub in (10, 10**9):
+        monkeypatch.setattr(graph, "HUB", hub)
+        root = {r[0]: r[1] for r in graph.components(df).collect()}
+        assert len(root) == 300 + 21 + 2 and {v for k, v in root.items() if k < 2000} == {0} and root[5000] == root[4000] == 4000
