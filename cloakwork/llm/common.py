@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import pickle
 import tempfile
 import uuid
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_WRITTEN = itertools.count(1)
+#: After so many tables the driver's heap, by then mostly plans of ended queries, is collected, so that its process stays small.
+TIDY = 8
 #: Spark drops the shuffle files of a query when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that one shard holds on average; a shard is what one Python task has in memory.
@@ -57,6 +61,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     atexit.register(_delete, spark, path)
+    if next(_WRITTEN) % TIDY == 0:
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
