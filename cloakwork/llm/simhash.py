@@ -40,10 +40,12 @@ GRIDS = [(2, 6), (1, 8), (1, 16)]
 SKETCH = 256
 #: Frequent shingles that a task reports from so many, and that are held; they only order prefixes, which is right in any order.
 REPORTED, COUNTED, HEAVY = 2000, 2_000_000, 50_000
-#: Members of a cell all of whose pairs are compared at once; in larger ones, neighbours up to so many places away in each round, then all others.
-WHOLE, ROUNDS, HUBS = 8, (4, 32), 4
-#: Standard errors from the bound at which a signature settles a pair, for large and for small sets; least size that it settles.
-FAR, FARTHER, FEWER, SHORT = 5, 7, 50, 8
+#: Members of a cell all of whose pairs are compared at once; in larger ones, members with which all are compared first.
+WHOLE, HUBS = 8, 2
+#: Members of a cell that a task takes twice, at most.
+PART = 20_000
+#: Standard errors from the bound at which a signature settles a pair, and the least size of sets that it settles.
+FAR, SHORT = 5, 8
 #: So many ids are broadcast at most (8 MB of them), so that texts need not move; more are joined by a shuffle.
 FEW = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -237,12 +239,12 @@ def may_be_near(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     """Which rows (size, signature, signature) of x and y may be as similar as `least`.
 
     Bits of signatures differ with the angle between the sets over pi; FAR standard errors beyond that at `least` are
-    out.  That is a limit for large sets, so those of up to FEWER shingles get FARTHER, and the smallest always may be.
+    out.  The smallest sets always may be.
     """
     p = math.acos(2 * least / (1 + least)) / math.pi
     apart = np.bitwise_count((x[:, 1:] ^ y[:, 1:]).view(np.uint64)).sum(1, dtype=np.int64)
     sizes = np.minimum(x[:, 0], y[:, 0])
-    return (sizes >= least * np.maximum(x[:, 0], y[:, 0]) - 1e-9) & ((apart <= 128 * p + np.where(sizes <= FEWER, FARTHER, FAR) * math.sqrt(128 * p * (1 - p))) | (sizes < SHORT))
+    return (sizes >= least * np.maximum(x[:, 0], y[:, 0]) - 1e-9) & ((apart <= 128 * p + FAR * math.sqrt(128 * p * (1 - p))) | (sizes < SHORT))
 
 
 _PREFIX_DDL = "token long, at long, _id long, s1 long, s2 long"
@@ -320,56 +322,93 @@ def _cells(least: float, whole: int):
     return run
 
 
-def _round(sent: Sent, least: float, after: int, upto: int | None):
+def _with_hubs(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a packed cell that no links connect so far: neighbours after + 1 to `upto` places away, and all with those that have most links; without `upto`, all pairs."""
-        node, root, links_of = sent.value
-
-        def of(cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            ids, members = cell[:, 0], cell[:, 1:]
-            group, degree = ids.copy(), np.zeros(len(ids), np.int64)
-            if len(node):
-                at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
-                have = node[at] == ids
-                group[have], degree[have] = root[at[have]], links_of[at[have]]
-            every = np.arange(len(ids))
-
-            def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                may = group[x] != group[y]
-                x, y = x[may], y[may]
-                may = may_be_near(members[x], members[y], least)
-                return ids[x[may]], ids[y[may]]
-
-            names, which, count = np.unique(group, return_inverse=True, return_counts=True)
-            if len(names) == 1:
-                return
-            if upto is None:
-                largest = which == int(np.argmax(count))
-                for k in np.flatnonzero(~largest):
-                    others = every[largest | (every > k)]
-                    yield near(np.full(len(others), k), others)
-                return
-            for d in range(after + 1, min(upto + 1, len(ids))):
-                yield near(every[:-d], every[d:])
-            hubs = np.argsort(-degree, kind="stable")[:HUBS] if degree.any() else [0, len(ids) // 2]
-            for k in hubs:
-                yield near(np.full(len(ids), k), every)
-
+        """Pairs of the HUBS least ids of a packed cell with all others: cells of one group mostly have the same ones."""
         for batch in batches:
             for pack in batch.column(0).to_pylist():
-                left, right, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-                for a, b in of(np.frombuffer(pack, "<i8").reshape(-1, 4)):
-                    left.append(a)
-                    right.append(b)
-                    size += len(a)
-                    if size > 500_000:
-                        yield _pairs_of(np.concatenate(left), np.concatenate(right)).select(["a", "b"])
-                        left, right, size = [a[:0]], [b[:0]], 0
+                cell = np.frombuffer(pack, "<i8").reshape(-1, 4)
+                cell = cell[np.argsort(cell[:, 0], kind="stable")]
+                left, right = [], []
+                for k in range(HUBS):
+                    may = k + 1 + np.flatnonzero(may_be_near(np.broadcast_to(cell[k, 1:], (len(cell) - k - 1, 3)), cell[k + 1 :, 1:], least))
+                    left.append(cell[may, 0])
+                    right.append(np.full(len(may), cell[k, 0]))
                 yield _pairs_of(np.concatenate(left), np.concatenate(right)).select(["a", "b"])
 
     return run
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, parts, _id) of every member of packed cells; a cell has so many parts that two of them fit into a task."""
+    import xxhash
+
+    for batch in batches:
+        for pack in batch.column(0).to_pylist():
+            ids = np.frombuffer(pack, "<i8").reshape(-1, 4)[:, 0]
+            cell, parts = np.uint64(xxhash.xxh64_intdigest(pack)).view(np.int64), -(-len(ids) // PART)
+            for at in range(0, len(ids), 100_000):
+                some = ids[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), cell)), pa.array(np.full(len(some), parts, np.int32)), pa.array(some)], names=["cell", "parts", "_id"])
+
+
+def bins(h: np.ndarray) -> np.ndarray:
+    """The least hash of each of 256 ranges, in 16 bits; 0 where there is none.  h: sorted."""
+    out = np.zeros(256, dtype="<u2")
+    at, first = np.unique(h >> np.uint64(56), return_index=True)
+    out[at.astype(np.int64)] = np.maximum(1, h[first] & np.uint64(0xFFFF))
+    return out
+
+
+def _binned(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            found = [shingles(text, words) for text in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in found], pa.int32()), pa.array([bins(h).tobytes() for h in found], pa.binary())], names=["_id", "n", "bins"])
+
+    return run
+
+
+def _across(least: float):
+    def run(cell: pa.Table) -> pa.Table:
+        """Pairs of members of different groups that their bins don't settle to be apart."""
+        ids, group, n = (cell[c].to_numpy() for c in ("_id", "root", "n"))
+        held = np.frombuffer(b"".join(cell["bins"].to_pylist()), "<u2").reshape(len(ids), 256)
+        names, which, count = np.unique(group, return_inverse=True, return_counts=True)
+        largest = which == int(np.argmax(count))
+        left, right = [ids[:0]], [ids[:0]]
+        every = np.arange(len(ids))
+        for k in np.flatnonzero(~largest) if len(names) > 1 else ():
+            other = every[(largest | (every > k)) & (which != which[k])]
+            other = other[np.minimum(n[other], n[k]) >= least * np.maximum(n[other], n[k]) - 1e-9]
+            used = np.count_nonzero(held[other] | held[k], axis=1)
+            alike = np.count_nonzero((held[other] == held[k]) & (held[k] > 0), axis=1)
+            # a bin draws one of the hashes of both texts, none of them twice: four standard errors, and one bin for the small
+            drawn = np.minimum(1, used * (1 + least) / (n[other] + n[k]))
+            other = other[alike >= least * used - 4 * np.sqrt(least * (1 - least) * used * (1 - drawn)) - 1]
+            left.append(np.full(len(other), ids[k]))
+            right.append(ids[other])
+        return pa.Table.from_batches([_pairs_of(np.concatenate(left), np.concatenate(right)).select(["a", "b"])])
+
+    return run
+
+
+def across(df: DataFrame, large: DataFrame, found: DataFrame, words: int, least: float) -> DataFrame:
+    """Pairs (a, b) of members of packed cells that the links found so far don't connect and that may be similar enough.
+
+    Cells of over PART members are taken two parts at a time, so no task holds more than two.
+    """
+    members = staged(large.mapInArrow(_members, "cell long, parts int, _id long"), "members")
+    ids = members.select("_id").distinct()
+    held = staged(df.join(small_or(staged(ids, "ids"), FEW), "_id", "left_semi").mapInArrow(_binned(words), "_id long, n int, bins binary").dropDuplicates(["_id"]), "bins")
+    roots = components(found).select(F.col("node").alias("_id"), "root").distinct()
+    rows = members.join(held.join(roots, "_id", "left").withColumn("root", F.coalesce("root", "_id")), "_id")
+    mine = F.pmod(F.xxhash64("_id"), F.col("parts"))
+    rows = rows.withColumn("_mine", mine).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))))
+    rows = rows.select("cell", F.least("_mine", "_with").alias("_low"), F.greatest("_mine", "_with").alias("_high"), "_id", "root", "n", "bins")
+    return rows.groupBy("cell", "_low", "_high").applyInArrow(_across(least), "a long, b long").distinct()
+
+
 def _sketches(words: int, size: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The least `size` hashes of each text's shingles, sorted; all of them if there are fewer, or without a size."""
@@ -425,10 +464,11 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
 
     Prefix filtering proposes pairs, and misses none: of texts with n shingles, n - ceil(least n) + 1 of each are taken in one
     order of all shingles, rare ones first, so texts that are similar enough share one of these, which is their cell.  Cells
-    of up to `whole` texts give all pairs.  Larger ones go in rounds: near neighbours and those with most links first, and
-    in the last round all pairs that verified links do not connect yet.  So groups of near copies cost few pairs each,
-    and only texts that links connect anyway are not compared.  Signatures - SimHash again, of 128 bits - travel with the
-    shingles and settle in the cell which pairs are far from the bound.  Copies are one text here; ids must tell texts apart.
+    of up to `whole` texts give all pairs.  In larger ones all are first compared with the HUBS least ids; then members
+    that verified links do not connect are compared in the cell by binned minima of their hashes, and what these do not
+    settle is verified.  So groups of near copies give few pairs each, and only texts that links connect anyway are not compared.
+    Signatures - SimHash again, of 128 bits - travel with the shingles and settle which pairs of a cell are far from the bound.
+    Copies are one text here; ids must tell texts apart.
     """
     df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
     spark = df.sparkSession
@@ -439,22 +479,15 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     order = np.argsort(h.view(np.uint64))
     rows = texts.mapInArrow(_prefixes(Sent(spark, (h.view(np.uint64)[order], n[order])), words, least), _PREFIX_DDL)
     met = staged(rows.repartition("token").sortWithinPartitions("token", "at", "_id").mapInArrow(_cells(least, whole), "a long, b long, members binary"), "cells")
-    pairs = met.where("a is not null").select("a", "b").distinct()
+    pairs = met.where("a is not null").select("a", "b")
     large = staged(met.where("members is not null").select("members").distinct(), "large")
-    many = not large.isEmpty()
-    found, nothing = None, np.zeros(0, np.int64)
-    known = (nothing, nothing, nothing)
-    for after, upto in zip((0, *ROUNDS), (*ROUNDS, None)) if many else [(0, None)]:
-        if many:
-            more = large.mapInArrow(_round(Sent(spark, known), least, after, upto), "a long, b long")
-            pairs = (more if found is not None else pairs.union(more)).distinct()
-        got = staged(_verified(df, staged(pairs, "pairs"), words, least, size), "verified")
-        found = got if found is None else found.union(got)
-        if upto is not None:
-            degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-            at = components(found.distinct()).distinct().join(degree, "node").select("node", "root", "n").orderBy("node").toArrow()
-            known = tuple(at[c].to_numpy().astype(np.int64) for c in ("node", "root", "n"))
-    return found
+    pairs = staged(pairs.union(large.mapInArrow(_with_hubs(least), "a long, b long")).distinct(), "pairs")
+    found = staged(_verified(df, pairs, words, least, size), "verified")
+    dropped(met, first, pairs)
+    if large.isEmpty():
+        return found
+    pairs = staged(across(df, large, found, words, least), "across")
+    return found.union(staged(_verified(df, pairs, words, least, size), "verified"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, apart: int = MAX_BITS, words: int = 5, least: float = 0.8) -> DataFrame:

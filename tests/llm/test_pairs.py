@@ -208,7 +208,7 @@ def plain_near_roots(texts, least=0.8):
     return root
 
 
-def test_near_copies_lose_no_link(spark):
+def test_near_copies_lose_no_link(spark, monkeypatch):
     """A reordered text before its near copies, chains in one large cell, copies just above and below the bound, one passage in many texts."""
     rng = random.Random(21)
     words = [f"w{k}" for k in range(4000)]
@@ -240,7 +240,8 @@ def test_near_copies_lose_no_link(spark):
     order = rng.sample(range(12, len(texts)), len(texts) - 12)
     texts = texts[:12] + [texts[k] for k in order]
     want = plain_near_roots([t.lower() for t in texts])
-    for whole in (2, simhash.WHOLE):
+    for whole, part in ((2, 7), (simhash.WHOLE, simhash.PART)):
+        monkeypatch.setattr(simhash, "PART", part)
         links = simhash.near_copies(docs(spark, texts), whole=whole)
         root = {r[0]: r[1] for r in simhash.components(links.distinct()).collect()}
         assert [root.get(k, k) for k in range(len(texts))] == want
@@ -260,7 +261,7 @@ def test_signatures_keep_near_sets():
             far.append([(len(a), *simhash.signature(a)), (len(c), *simhash.signature(c))])
         near, far = np.array(near, dtype=np.int64), np.array(far, dtype=np.int64)
         assert simhash.may_be_near(near[:, 0], near[:, 1], 0.8).all()
-        assert n <= 50 or simhash.may_be_near(far[:, 0], far[:, 1], 0.8).mean() < 0.05
+        assert n < 25 or simhash.may_be_near(far[:, 0], far[:, 1], 0.8).mean() < 0.05
 
 
 def test_hubs(spark, monkeypatch):
