@@ -2,8 +2,8 @@
 
 DataFrame functions only.  Each url becomes all expressions `host suffix + path prefix` that a rule could equal; these
 equi-join with the rules on the first four bytes of SHA-256, the whole digest confirms, and the longest rule that fits
-decides.  Path prefixes end at each slash; lengths of rule paths that end elsewhere are cut as well, so a rule fits
-whenever the path starts with the rule's.  One shuffle: the best rule is found per task before rows move, one row a url.
+decides.  Suffixes have up to as many labels as any rule's host, prefixes the lengths of rules' paths: no other expression can
+equal a rule, so a url of any length has few.  A rule fits whenever the path starts with the rule's.  One shuffle: the best rule is found per task before rows move, one row a url.
 
 Defined cases: null, or no `://`: host and path are empty, no rule fits, the default verdict holds.  Of rules with the same
 length that fit, the greater text wins, and block wins over allow for the same text.  Repeated rows stay repeated.  Extra columns are
@@ -34,16 +34,10 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All `host suffix + path prefix`, each once: suffixes start at the host's labels, prefixes end at slashes or have one of `lengths`."""
-    labels = F.split(host, r"\.", -1)
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    parts = F.split(path, "/", -1)
-    cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < F.size(parts), "/").otherwise("")))
-    if lengths:
-        cuts = F.concat(cuts, *[F.when(F.length(path) >= k, F.array(F.substring(path, 1, k))).otherwise(F.array().cast("array<string>")) for k in lengths])
-    cuts = F.array_distinct(cuts)
+def expressions(host: Column, path: Column, labels: int, lengths: list[int]) -> Column:
+    """All `host suffix + path prefix` that a rule could equal, each once: suffixes of up to so many labels, prefixes of these lengths."""
+    suffixes = F.array_distinct(F.array(*[F.substring_index(host, ".", -k) for k in range(1, labels + 1)]))
+    cuts = F.filter(F.array(*[F.when(F.length(path) >= k, F.substring(path, 1, k)) for k in lengths]), lambda p: p.isNotNull())
     return F.flatten(F.transform(suffixes, lambda s: F.transform(cuts, lambda p: F.concat(s, p))))
 
 
@@ -61,11 +55,12 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]] = RULES, default
     spark = df.sparkSession
     r = rule_table(spark, rules)
     known = F.broadcast(r) if len(rules) <= BROADCAST_RULES else r
-    lengths = sorted({len(p) for _, _, p in rules if not p.endswith("/")})
+    lengths = sorted({len(p) for _, _, p in rules}) or [0]
+    labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)
     base = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
     host, path = split_url(F.col("_url"))
     base = base.select(F.monotonically_increasing_id().alias("_row"), "_id", host.alias("_host"), path.alias("_path"))
-    wide = base.withColumn("_expr", F.explode(expressions(F.col("_host"), F.col("_path"), lengths)))
+    wide = base.withColumn("_expr", F.explode_outer(expressions(F.col("_host"), F.col("_path"), labels, lengths)))
     digest = F.sha2("_expr", 256)
     wide = wide.select("_row", "_id", "_host", "_path", digest.alias("_digest"), F.substring(digest, 1, 8).alias("_prefix"))
     hit = wide.join(known, (F.col("_prefix") == F.col("prefix")) & (F.col("_digest") == F.col("digest")), "left")
