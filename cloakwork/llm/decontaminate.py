@@ -5,11 +5,11 @@ benchmark item; an item of fewer words, but not none, is one window.  Benchmark
 looked up once, rolling hashes of the numbers are searched in the sorted hashes of the windows, and each hit is verified
 number by number, so that equal hashes of different windows do no harm.
 
-The windows are broadcast up to MAX_BENCHMARK_BYTES of benchmark text, which is measured first; a larger benchmark is
-taken in parts of that size, one pass over the documents for each, and no part is left out.
+The windows are broadcast up to MAX_BENCHMARK_BYTES of benchmark text, which is measured first (a window takes about 60 bytes, a
+byte of text about 12, so a worker holds some 50 MB); a larger benchmark is taken in parts of that size, one pass over the documents for each, and no part is left out.
 
 Defined cases: null text has no words; repeated documents and items stay repeated; an item without words matches
-nothing; extra columns are dropped; an empty table gives an empty result (documents) or no hits (benchmark).
+nothing; ids of items may be of any type, an item with a null id counts as one item that has no name; extra columns are dropped; an empty table gives an empty result (documents) or no hits (benchmark).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import Sent, as_bytes, in_batches, small, staged, table, text_bytes
 
 WINDOW = 10
-MAX_BENCHMARK_BYTES = 16_000_000
+MAX_BENCHMARK_BYTES = 4_000_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -36,24 +36,30 @@ def fold_words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items, ready to be searched."""
+    """The windows of some items, ready to be searched: distinct ones in order of their hashes, with the items that have each."""
 
-    def __init__(self, items: list[tuple[object, bytes]], n: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int):
         self.number: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
         self.ids = [i for i, _ in items]
+        found: dict[int, tuple[list, list]] = {}
         for at, (_, text) in enumerate(items):
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in fold_words(text)]
-            size = min(n, len(ids))
-            for k in range(len(ids) - size + 1 if ids else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[k : k + size]), set()).add(at)
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in fold_words(text)], dtype=np.int32)
+            if len(ids):
+                size = min(n, len(ids))
+                words, owners = found.setdefault(size, ([], []))
+                words.append(np.lib.stride_tricks.sliding_window_view(ids, size))
+                owners.append(np.full(len(words[-1]), at, dtype=np.int32))
         self.by_size = {}
-        for size, windows in found.items():
-            words = np.array(list(windows), dtype=np.int64).reshape(-1, size)
-            owners = list(windows.values())
-            h = self.rolled(words.ravel(), size)[::size]
+        for size, (words, owners) in found.items():
+            every, at = np.unique(np.concatenate(words), axis=0, return_inverse=True)
+            h = self.rolled(every.ravel(), size)[::size]
             order = np.argsort(h, kind="stable")
-            self.by_size[size] = (h[order], words[order], [owners[i] for i in order])
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            at = place[at.ravel()]
+            by_window = np.argsort(at, kind="stable")
+            limits = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(every)))])
+            self.by_size[size] = (h[order], every[order], np.concatenate(owners)[by_window], limits)
 
     @staticmethod
     def rolled(ids: np.ndarray, size: int) -> np.ndarray:
@@ -65,11 +71,11 @@ class Windows:
             out += x[j : j + len(out)]
         return out
 
-    def hits(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, set[int]]]:
+    def hits(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, list[int]]]:
         """(start, size, items) of each window that occurs; ids: of words of many documents, ends: where the word's document ends."""
         out = []
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for size, (sorted_h, words, owners) in self.by_size.items():
+        for size, (sorted_h, words, owners, limits) in self.by_size.items():
             n = len(ids) - size + 1
             if n <= 0:
                 continue
@@ -80,11 +86,11 @@ class Windows:
             lo, hi = np.searchsorted(sorted_h, h, "left"), np.searchsorted(sorted_h, h, "right")
             for k in np.flatnonzero(hi > lo):
                 s = int(starts[k])
-                out += [(s, size, owners[w]) for w in range(lo[k], hi[k]) if np.array_equal(words[w], ids[s : s + size])]
+                out += [(s, size, owners[limits[w] : limits[w + 1]].tolist()) for w in range(lo[k], hi[k]) if np.array_equal(words[w], ids[s : s + size])]
         return out
 
 
-_ARROW = pa.schema([("_id", pa.int64()), ("_text", pa.string()), ("n_words", pa.int64()), ("_starts", pa.list_(pa.int64())), ("_ends", pa.list_(pa.int64())), ("_items", pa.list_(pa.int64()))])
+_ARROW = pa.schema([("_id", pa.int64()), ("_text", pa.string()), ("n_words", pa.int64()), ("_starts", pa.list_(pa.int64())), ("_ends", pa.list_(pa.int64())), ("_items", pa.list_(pa.string()))])
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -125,7 +131,7 @@ def _scan(windows, keep_text: bool):
                     items[some[k]].update(known.ids[o] for o in owners)
             spans = [_joined(x) for x in spans]
             text = batch.column(1) if keep_text else pa.nulls(len(texts), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), text.cast(pa.string()), pa.array(n_words, pa.int64()), pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int64())), pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), *(batch.column(c) for c in range(6, batch.num_columns))], schema=pa.schema([*_ARROW, *(batch.schema.field(c) for c in range(6, batch.num_columns))]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), text.cast(pa.string()), pa.array(n_words, pa.int64()), pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int64())), pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int64())), pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string())), *(batch.column(c) for c in range(6, batch.num_columns))], schema=pa.schema([*_ARROW, *(batch.schema.field(c) for c in range(6, batch.num_columns))]))
 
     return run
 
@@ -133,10 +139,10 @@ def _scan(windows, keep_text: bool):
 def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str, item_col: str, keep_text: bool, max_bytes: int, carried: tuple[str, ...] = (), finish: tuple | None = None) -> DataFrame:
     """What _scan gives after all parts of the benchmark; finish: a function of its last batches, in the same worker, and the schema of what that gives."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("long").alias("_item"), F.col("text").alias("_text")).where("_text is not null and _item is not null")
+    bench = benchmark.select(F.col(item_col).cast("string").alias("_item"), F.col("text").alias("_text")).where("_text is not null")
     parts = max(1, -(-text_bytes(bench, "_text") // max_bytes))
     none = F.array().cast("array<long>")
-    df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), none.alias("_starts"), none.alias("_ends"), none.alias("_items"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)])
+    df = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), none.alias("_starts"), none.alias("_ends"), none.cast("array<string>").alias("_items"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
     for k in range(parts):
         some = bench.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(parts)) == k).collect()  # at most about max_bytes
@@ -206,7 +212,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep_text=False)
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
-    names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    names = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 

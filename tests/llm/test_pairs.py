@@ -115,7 +115,8 @@ def test_decontamination_by_brute_force(spark):
         got = {r.doc_id: r for r in decontaminate.find_hits(docs(spark, texts), bench, max_bytes=most).collect()}
         for i, t in enumerate(texts):
             r = got[i]
-            assert (r.n_words, sum(b - a for a, b in zip(r.starts, r.ends)), list(r["items"])) == plain_hits(t, items)
+            n, hit, found = plain_hits(t, items)
+            assert (r.n_words, sum(b - a for a, b in zip(r.starts, r.ends)), list(r["items"])) == (n, hit, sorted(map(str, found)))
 
 
 def test_decontamination_removes(spark):
@@ -274,3 +275,38 @@ def test_hubs(spark, monkeypatch):
         monkeypatch.setattr(graph, "HUB", hub)
         root = {r[0]: r[1] for r in graph.components(df).collect()}
         assert len(root) == 300 + 21 + 2 and {v for k, v in root.items() if k < 2000} == {0} and root[5000] == root[4000] == 4000
+
+
+def test_names_of_items(spark):
+    """Ids that are text or null; one item twice under two names."""
+    text = "a b c d e f g h i j k"
+    bench = spark.createDataFrame([("mmlu-1", text), (None, "one two three four five six seven eight nine ten"), ("x", text), (None, "never seen at all")], "item_id string, text string")
+    df = docs(spark, [f"z {text} z", "one two three four five six seven eight nine ten", "nothing"])
+    got = {r.doc_id: r for r in decontaminate.find_hits(df, bench).collect()}
+    assert list(got[0]["items"]) == ["mmlu-1", "x"] and list(got[1]["items"]) == [None] and list(got[1].ends) == [10] and not got[2]["items"]
+    left = {r.doc_id: r.text for r in decontaminate.decontaminate(df, bench).collect()}
+    assert left == {0: "z  z", 2: "nothing"}
+
+
+def test_long_blanks_and_words(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_file())
+    texts = [" " * 2_000_000, "a" + "\n" * 1_000_000 + "b", "x" * 300_000, "\u4e00" * 100_000]
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
+    got = {}
+    for r in packing.pieces(docs(spark, texts)).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert r.doc_tokens == want[r.doc_id]
+    assert got == want
+
+
+def test_long_urls(spark):
+    import time
+
+    rows = [(1, "http://" + "a." * 50_000 + "net/" + "x/" * 50_000), (2, "http://example.net/en/" + "y/" * 100_000 + "?q"), (3, "no" * 100_000), (4, "x://" + "b" * 100_000)]
+    df = spark.createDataFrame([(*r, "z", "z") for r in rows], "page_id long, url string, _row string, rule string")
+    urls.judge_urls(df.limit(1)).collect()
+    start = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(df).collect()}
+    assert got == {1: ("net/", "block"), 2: ("example.net/en/", "allow"), 3: (None, "allow"), 4: (None, "allow")} and time.time() - start < 10
