@@ -1,10 +1,12 @@
 """Main text of web pages: markup gives blocks, a suffix array of each host finds what its pages repeat.
 
 A page's markup becomes blocks of text.  Some markup says for certain what a block is: scripts, styles, menus, footers, forms,
-adverts, notices and reader comments are no text; what stands in the article element is.  For the rest the host
-decides: the token streams of its pages, without their articles, are concatenated; a suffix array (prefix doubling) brings equal runs together; runs
-of at least RUN tokens that occur on two pages with different streams are boilerplate, and a block that such runs cover
-for COVERED or more of its tokens goes.  Blocks with unique runs stay.
+adverts, notices and reader comments are no text; what stands in the article element is.  For the rest - blocks outside the
+article, and those inside whose class names leave a doubt - the host decides: the token streams of its pages are concatenated; a
+suffix array (prefix doubling to full order, with common lengths) brings equal substrings together; those of at least RUN tokens that
+occur on two pages with different streams are boilerplate, and a block that they cover for COVERED or more of its tokens
+goes.  Blocks with unique runs stay.  Undoubted paragraphs of articles stay whatever other pages repeat: copies and
+quotations are text.
 
 Pages meet by host in groups of about GROUP_BYTES: small hosts share a group, a host with more is dealt over several.  What
 such a host repeats is counted over all its groups: 64-bit hashes of runs meet with those of their streams, and each
@@ -46,18 +48,41 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ENDS_P = _BLOCK - {"caption", "legend", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _OUT = frozenset("head nav footer aside form menu dialog".split())
 _OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended comment comments replies discussion disqus widget toolbar pagination pager search skip contentinfo complementary".split())
+#: Parts that a class name may have beside one of these words and still mean the same.
+_HELPERS = frozenset("area bar block bottom box column container content form group header inner item items left link links list main menu message nav outer panel primary right secondary section site slot text thread top unit widget wrap wrapper".split())
 _MAIN_WORDS = frozenset(["main", "articlebody"])
+#: Elements whose marks say something of the page, not of a part of it.
+_WHOLE = frozenset(["html", "body", "article", "main"])
+
+
+def marked(piece: str) -> str:
+    """What the class, id, role and itemprop of a tag say: main, out, doubt or nothing.
+
+    A name says out if it is one of the known words, or made of them and of parts that add nothing (`comment-list`); with any
+    other part (`related-work`, `no-sidebar`) it is a doubt, which the host's repeats settle.
+    """
+    found = ""
+    for _, *v in _MARK.findall(piece):
+        for name in "".join(v).lower().split():
+            parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+            if name in _MAIN_WORDS:
+                return "main"
+            if any(x in _OUT_WORDS for x in parts):
+                if all(x in _OUT_WORDS or x in _HELPERS or x.isdigit() for x in parts):
+                    return "out"
+                found = "doubt"
+    return found
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of each block in page order; zone: main, out or open."""
+    """(zone, text) of each block in page order; zone: main, out, open or doubt."""
     found: list[tuple[str, str]] = []
     held: list[str] = []
     stack: list[tuple[str, str]] = []  # (element, zone inside)
     zone = "open"
 
     def close() -> None:
-        text = " ".join(entities.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         held.clear()
         if text:
             found.append((zone, text))
@@ -65,7 +90,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
     for m in _PIECE.finditer(page):
         piece = m.group()
         if piece[0] != "<" or len(piece) == 1:
-            held.append(piece)
+            held.append(entities.unescape(piece) if "&" in piece else piece)
             continue
         name = _NAME.match(piece)
         if m.group(1) or not name:
@@ -98,11 +123,13 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         inner = zone
         if zone != "out":
-            marks = {w for _, *v in _MARK.findall(piece) for w in re.split(r"[^a-z0-9]+", "".join(v).lower())} if "=" in piece else set()
-            if tag in _OUT or tag == "header" and zone == "open" or marks & _OUT_WORDS or _HIDDEN.search(piece):
+            says = marked(piece) if "=" in piece and tag not in _WHOLE else ""
+            if tag in _OUT or tag == "header" and zone == "open" or says == "out" or tag not in _WHOLE and _HIDDEN.search(piece):
                 inner = "out"
-            elif tag in ("article", "main") or marks & _MAIN_WORDS:
+            elif tag in ("article", "main") or says == "main":
                 inner = "main"
+            elif says == "doubt":
+                inner = says
         if inner != zone and tag not in _BLOCK:
             close()
         stack.append((tag, inner))
@@ -111,35 +138,57 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return found
 
 
+def suffixes(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array of all streams together, length of what each suffix shares with the one before it); suffixes end with their stream.
+
+    Prefix doubling: ranks by the first 1, 2, 4 … tokens, until no two suffixes that go on are alike; going back over the
+    ranks gives the common lengths.
+    """
+    sizes = np.array([len(s) for s in streams])
+    n = int(sizes.sum())
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.arange(n)
+    rank = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64) + 1
+    ranks = [rank]
+    while (1 << len(ranks)) <= 2 * int(sizes.max(initial=1)) and int(ranks[-1].max(initial=0)) < n:
+        step = 1 << (len(ranks) - 1)
+        after = np.zeros(n, dtype=np.int64)
+        after[: max(0, n - step)] = ranks[-1][step:]
+        after[at + step >= ends] = 0
+        ranks.append(np.unique(ranks[-1] * (n + 2) + after, return_inverse=True)[1] + 1)
+    array = np.argsort(ranks[-1], kind="stable")
+    shared = np.zeros(n, dtype=np.int64)
+    i, j = array[1:].copy(), array[:-1].copy()
+    for level in range(len(ranks) - 1, -1, -1):
+        step = 1 << level
+        fits = np.flatnonzero((i + step <= ends[array[1:]]) & (j + step <= ends[array[:-1]]))
+        fits = fits[ranks[level][i[fits]] == ranks[level][j[fits]]]
+        shared[1:][fits] += step
+        i[fits] += step
+        j[fits] += step
+    return array, shared
+
+
 def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
-    """Which tokens of each stream lie in a run of at least `run` tokens that another stream has too."""
+    """Which tokens of each stream lie in a run of at least `run` tokens that another stream has too.
+
+    In the suffix array, suffixes that share `run` tokens or more stand together; each in a stretch of two streams or
+    more covers its first `run` tokens, and the suffixes that follow it in its stream cover what a longer repeat has more.
+    """
     sizes = np.array([len(s) for s in streams])
     n = int(sizes.sum())
     covered = np.zeros(n, dtype=bool)
-    owner = np.repeat(np.arange(len(streams)), sizes)
     if n:
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        rank = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64) + 1
-        depth = 1
-        while depth < run:  # the array is in order of the first `run` tokens; runs end with their stream
-            step = min(depth, run - depth)
-            after = np.zeros(n, dtype=np.int64)
-            after[: n - step] = rank[step:]
-            after[np.arange(n) + step >= ends] = 0
-            rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1] + 1
-            depth += step
-        whole = np.flatnonzero(ends - np.arange(n) >= run)
-        suffixes = whole[np.argsort(rank[whole], kind="stable")]
-        r, o = rank[suffixes], owner[suffixes]
-        edge = np.flatnonzero(np.diff(r)) + 1
-        limits = np.concatenate([[0], edge, [len(r)]])
-        if len(r):
-            differ = np.minimum.reduceat(o, limits[:-1]) != np.maximum.reduceat(o, limits[:-1])
-            starts = suffixes[np.repeat(differ, np.diff(limits))]
-            change = np.zeros(n + 1, dtype=np.int64)
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + run, -1)
-            covered = np.cumsum(change)[:-1] > 0
+        array, shared = suffixes(streams)
+        owner = np.repeat(np.arange(len(streams)), sizes)[array]
+        stretch = np.cumsum(shared < run) - 1
+        first = np.flatnonzero(shared < run)
+        differ = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+        starts = array[differ[stretch]]
+        change = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + run, -1)
+        covered = np.cumsum(change)[:-1] > 0
     return np.split(covered, np.cumsum(sizes)[:-1])
 
 
@@ -187,7 +236,7 @@ def main_texts(pages: list[str], run: int = RUN, share: float = COVERED, known:
         n = np.bincount(owner, minlength=len(page)) if len(owner) else np.zeros(len(page), int)
         c = np.bincount(owner, weights=covered[stream], minlength=len(page)) if len(owner) else n
         may = [b for b, (zone, _) in enumerate(page) if zone != "out"]
-        stay = [b for b in may if page[b][0] == "main" or c[b] < share * n[b]]
+        stay = [b for b in may if page[b][0] == "main" or c[b] < share * n[b]]  # doubts and open blocks by what repeats
         out.append("\n\n".join(page[b][1] for b in stay or may))
     return out
 

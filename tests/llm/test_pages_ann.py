@@ -45,6 +45,47 @@ def test_repeated_by_brute_force():
                 assert np.array_equal(got, want)
 
 
+def test_suffix_array_by_sorting():
+    rng = random.Random(4)
+    for _ in range(40):
+        streams = [[rng.randint(0, 2) for _ in range(rng.randint(0, 9))] for _ in range(3)]
+        if not any(streams):
+            continue
+        array, shared = pages.suffixes([np.array(s, dtype=np.int64) for s in streams])
+        every = [s[i:] for s in streams for i in range(len(s))]
+        assert [every[i] for i in array] == sorted(every)
+        for k in range(1, len(array)):
+            x, y = every[array[k - 1]], every[array[k]]
+            assert shared[k] == next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+
+
+def test_marks():
+    page = '<html class="has-footer"><body class="single no-sidebar"><article class="post related"><p>Hello…</p><section id="related-work"><p>Others did so</p></section><div class="share-price">12 euros</div><div class="comment-list"><p>first!</p></div><p>&am<b>p;</b></p></article></body>'
+    assert pages.main_texts([page]) == ["Hello…\n\nOthers did so\n\n12 euros\n\n&amp;"]
+    assert [pages.marked(f'<div class="{x}">') for x in ("ad", "site-nav", "x y", "breadcrumb-2", "ad-hoc", "mainMenu", "main")] == ["out", "out", "", "out", "doubt", "", "main"]
+
+
+def test_the_array_decides():
+    """What repeats on the host goes where markup leaves it open or in doubt; the same blocks stay without the array."""
+    def page(k):
+        own = " ".join(f"w{k}x{j}" for j in range(20))
+        return f'<body><div>Welcome to our site dear guest</div><article><p>{own}</p><div class="share-price">Buy our stock at the market today</div><div class="related-work">paper {k} says that {k} is {k}</div><p>A paragraph that all of these pages quote</p></article></body>'
+
+    for k, text in enumerate(pages.main_texts([page(k) for k in range(5)])):
+        assert "Welcome" not in text and "stock" not in text and f"paper {k}" in text and "all of these pages quote" in text
+    assert "Welcome" in pages.main_texts([page(1)])[0] and "stock" in pages.main_texts([page(1)], run=1000)[0]
+
+
+def test_odd_pages(spark):
+    """Very long html, columns with names that the operator uses, nulls."""
+    long = "<article>" + "<p>word " * 200_000 + "<div " + "x" * 1_000_000
+    rows = [(1, "http://a/1", long), (2, None, "<" * 100_000), (3, "http://a/2", "&" * 200_000), (None, "http://a/3", "<p>" + "a " * 500_000)]
+    names = ["_host", "_group", "_part", "run", "text", "n_chars", "_id", "_html"]
+    df = spark.createDataFrame([(*r, *["z"] * len(names)) for r in rows], "page_id long, url string, html string" + "".join(f", `{n}` string" for n in names))
+    got = {r.page_id: r for r in pages.extract_pages(df).collect()}
+    assert len(got) == 4 and got[1].text == "\n\n".join(["word"] * 200_000) and got[None].n_chars == 999_999 and got[3].text == "&" * 200_000
+
+
 def test_extract_pages(spark, sf):
     df = spark.createDataFrame([(1, "http://a/x", PAGE + "<article><p>x</p></article>", 5), (1, "http://a/x", PAGE + "<article><p>x</p></article>", 5), (None, None, None, 5)], "page_id long, url string, html string, _host long")
     assert sorted(map(str, pages.extract_pages(df).collect())) == sorted(["Row(page_id=1, url='http://a/x', text='x', n_chars=1)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
