@@ -5,8 +5,8 @@ Weights of features and of transitions between languages are fitted by the likel
 are spliced from documents of different languages, so that transitions learn what code-switching looks like.
 Forward-backward over the whole text gives each word's distribution; a document's language has the greatest share of words.
 
-Training uses at most PER_LANG documents a language, chosen by a hash of the id, and SEQUENCE consecutive words of each;
-prediction uses every word of every text.  Forward-backward runs blockwise: blocks of a text give transfer matrices, these are chained,
+Training uses at most PER_LANG documents a language, those of the least hash of the id, and SEQUENCE consecutive words of each,
+from the TRAINED characters in its middle; every language that occurs is learned, at 256 KB of weights each.  Prediction uses every word of every text.  Forward-backward runs blockwise: blocks of a text give transfer matrices, these are chained,
 then all blocks are solved in step, which gives the same result as one chain from end to end.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; without any training document everything
@@ -23,13 +23,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Sent, crc_mod, in_batches, mixed, table
+from .common import Sent, crc_mod, in_batches, mixed, small_or, table
 from .exchange import run_hashes
 
 PER_LANG = 600
 SEQUENCE = 48
+#: Characters of a training text from whose middle its sequence comes.
+TRAINED = 20_000
 BUCKETS = 1 << 16
 LEXICON = 2000
 STEPS = 60
@@ -301,16 +304,17 @@ def _predict(sent):
 
 
 def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """At most about `per_lang` (lang, text) a language, by a hash of the id; texts to 20,000 characters, from the middle."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
-    if not counts:
-        return []
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_003)) <= min(1.0, per_lang / n) * 1_000_003))
-    middle = F.expr("substring(text, greatest(1, cast(length(text) / 2 as int) - 10000), 20000)")
-    return [(r[0], r[1]) for r in rows.where(chosen).select("lang", middle.alias("text")).collect()]
+    """At most `per_lang` (lang, text) a language, those of the least hash of the id; texts to TRAINED characters, from the middle.
+
+    Rows whose hash is far above what is needed go first, by the language's count; the others are ranked.
+    """
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 53)).alias("_h"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
+    counts = rows.groupBy("_lang").agg(F.count("*").alias("_count"), F.min("_h").alias("_least"))
+    near = (F.col("_h") == F.col("_least")) | (F.col("_h") <= F.lit(4.0 * per_lang * (1 << 53)) / F.col("_count"))
+    middle = F.expr(f"substring(_text, greatest(1, cast(length(_text) / 2 as int) - {TRAINED // 2}), {TRAINED})")
+    some = rows.join(small_or(counts, 10_000), "_lang").where(near).select("_lang", "_h", middle.alias("_text"))
+    rank = F.row_number().over(W.partitionBy("_lang").orderBy("_h", "_text"))
+    return sorted((r[0], r[1]) for r in some.select("_lang", "_text", rank.alias("_rank")).where(F.col("_rank") <= per_lang).select("_lang", "_text").toLocalIterator())
 
 
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -239,3 +239,11 @@ def test_language_of_text_without_blanks():
         for n in (60, 5000):
             marginal, lettered, lengths = langid.mark_words([text(x, n)], model)
             assert lengths.tolist() == [1] and lettered.all() and marginal[0, model.labels.index(lang)] > 0.9
+
+
+def test_language_sample_is_bounded(spark):
+    """Ids that are null or repeat don't widen the sample; every language is there."""
+    rows = [(None, f"null {k}", "aa", "s", 1) for k in range(500)] + [(7, f"seven {k}", "bb", "s", 1) for k in range(300)] + [(k, "x y", f"l{k}", "s", 1) for k in range(600)]
+    got = langid.sample(spark.createDataFrame(rows, DOC), F.lit(True), "doc_id", "text", "lang", 20)
+    by = {lang: sum(x == lang for x, _ in got) for lang, _ in got}
+    assert len(by) == 602 and by["aa"] == by["bb"] == 20 and by["l599"] == 1
