@@ -5,12 +5,13 @@ from the medoid, what the search visits proposes neighbours, and relaxed distanc
 neighbour is nearer to it by a factor of ALPHA) keeps diverse edges, both ways, at most DEGREE.  A query runs a beam search of width
 BEAM in every shard; the nearest of all shards are its result, with exact distances of the original vectors.
 
-Every vector is indexed.  The index is a table in the shared folder.  Queries go out in blocks of at most
-BLOCK, each broadcast; larger query sets take more blocks.  Equal vectors are one node that holds the least ids, as many as a result
+Every vector is indexed.  The index is a table in the shared folder.  Queries go out in blocks of about
+BLOCK_BYTES, each broadcast, answered by all shards and released before the next; larger query sets take more blocks.  Equal vectors are one node that holds the least ids, as many as a result
 can show, put together per task before rows move: a vector that a third of all rows share is one node.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without
-id; vectors of another length than the query's are no candidates; rows that repeat an id and vector count once; extra columns
+id; vectors of another length than the query's are no candidates; rows that repeat an id and vector count once; an
+id with several vectors asks with the least of them, and is found by each; extra columns
 are dropped; an empty table, or one without queries, gives an empty result.
 """
 
@@ -31,7 +32,8 @@ DEGREE = 32
 ALPHA = 1.2
 BUILD_BEAM = 64
 BEAM = 192
-BLOCK = 2048
+#: Bytes of query vectors that go out at once.
+BLOCK_BYTES = 32_000_000
 NEAREST = 10
 
 
@@ -236,13 +238,15 @@ def _searched(queries, nearest: int, beam: int, most: int):
 def search_index(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, beam: int = BEAM, most: int = NEAREST + 1) -> DataFrame:
     """query_id, rank, vec_id, score of the `nearest` vectors that the beams find, without the query's own id."""
     spark = index.sparkSession
-    asked = staged(valid(queries, id_col, vector_col).dropDuplicates(["_id", "_v"]), "queries")
-    count = max(1, -(-asked.count() // BLOCK))
+    asked = staged(valid(queries, id_col, vector_col).groupBy("_id").agg(F.min("_v").alias("_v")), "queries")
+    size = asked.agg(F.sum(F.size("_v") * 8 + 64)).first()[0] or 0
+    count = max(1, -(-size // BLOCK_BYTES))
     found = None
     for b in range(count):
-        block = asked.where(F.pmod(F.xxhash64("_id"), F.lit(count)) == b).orderBy("_id").collect()  # about BLOCK rows
+        block = asked.where(F.pmod(F.xxhash64("_id"), F.lit(count)) == b).orderBy("_id").collect()  # about BLOCK_BYTES
         sent = spark.sparkContext.broadcast(([r[0] for r in block], [(np.array(r[1], "<f8") + 0.0).tobytes() for r in block]))
-        got = index.mapInArrow(_searched(sent, nearest, beam, most), "query_id long, vec_id long, score double")
+        got = staged(index.mapInArrow(_searched(sent, nearest, beam, most), "query_id long, vec_id long, score double"), "found")
+        sent.destroy()
         found = got if found is None else found.unionByName(got)
     ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -159,6 +159,17 @@ def test_nearest_edges(spark):
     assert [r.vec_id for r in ann.nearest(vectors(spark, rows), ann.F.col("vec_id") == 100).orderBy("rank").collect()] == list(range(10))
 
 
+def test_query_blocks(spark, monkeypatch):
+    """Queries in several blocks, ids with two vectors, columns with names used inside."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist(), 0, "z", "z", "z") for i in range(900)] + [(300, [9.0, 9.0, 9.0, 9.0], 0, "z", "z", "z")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, _id string, _v string, query_id string")
+    one = ann.nearest(df, ann.F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 200)
+    assert ann.nearest(df, ann.F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect() == one
+    assert len(one) == 90 and all(r.vec_id != r.query_id for r in one)
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_small_graphs(n):
     v = np.random.default_rng(n).normal(size=(n, 4)).astype(np.float32)
