@@ -42,8 +42,8 @@ SKETCH = 256
 REPORTED, COUNTED, HEAVY = 2000, 2_000_000, 50_000
 #: Members of a cell all of whose pairs are compared at once; in larger ones, members with which all are compared first.
 WHOLE, HUBS = 8, 2
-#: Members of a cell that a task takes twice, at most.
-PART = 20_000
+#: Members of a cell that a task takes twice, at most; shingles of a text whose hashes travel in full; bins of one with more.
+PART, FULL, BINS = 20_000, 256, 512
 #: Standard errors from the bound at which a signature settles a pair, and the least size of sets that it settles.
 FAR, SHORT = 5, 8
 #: So many ids are broadcast at most (8 MB of them), so that texts need not move; more are joined by a shuffle.
@@ -353,27 +353,36 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bins(h: np.ndarray) -> np.ndarray:
-    """The least hash of each of 256 ranges, in 16 bits; 0 where there is none.  h: sorted."""
-    out = np.zeros(256, dtype="<u2")
-    at, first = np.unique(h >> np.uint64(56), return_index=True)
-    out[at.astype(np.int64)] = np.maximum(1, h[first] & np.uint64(0xFFFF))
+    """The least hash of each of BINS ranges, in 16 bits; 0 where there is none.  h: sorted, the upper 32 bits of hashes."""
+    out = np.zeros(BINS, dtype="<u2")
+    at, first = np.unique(h // np.uint32((1 << 32) // BINS), return_index=True)
+    out[at.astype(np.int64)] = np.maximum(1, h[first] & np.uint32(0xFFFF))
     return out
 
 
 def _binned(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(_id, n, hashes): the upper halves of all hashes of a set of up to FULL, the bins of a larger one."""
         for batch in small(batches):
-            found = [shingles(text, words) for text in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in found], pa.int32()), pa.array([bins(h).tobytes() for h in found], pa.binary())], names=["_id", "n", "bins"])
+            found = [(shingles(text, words) >> np.uint64(32)).astype("<u4") for text in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in found], pa.int32()), pa.array([(h if len(h) <= FULL else bins(h)).tobytes() for h in found], pa.binary())], names=["_id", "n", "hashes"])
 
     return run
 
 
 def _across(least: float):
     def run(cell: pa.Table) -> pa.Table:
-        """Pairs of members of different groups that their bins don't settle to be apart."""
+        """Pairs of members of different groups that their hashes don't settle to be apart: sets in full are compared exactly, others by bins."""
         ids, group, n = (cell[c].to_numpy() for c in ("_id", "root", "n"))
-        held = np.frombuffer(b"".join(cell["bins"].to_pylist()), "<u2").reshape(len(ids), 256)
+        raw = cell["hashes"].to_pylist()
+        held = np.zeros((len(ids), BINS), dtype="<u2")
+        full = np.zeros((len(ids), min(FULL, int(n.max(initial=1)))), dtype="<u4")
+        for k, x in enumerate(raw):
+            if n[k] <= FULL:
+                full[k, : n[k]] = h = np.frombuffer(x, "<u4")
+                held[k] = bins(h)
+            else:
+                held[k] = np.frombuffer(x, "<u2")
         names, which, count = np.unique(group, return_inverse=True, return_counts=True)
         largest = which == int(np.argmax(count))
         left, right = [ids[:0]], [ids[:0]]
@@ -381,13 +390,21 @@ def _across(least: float):
         for k in np.flatnonzero(~largest) if len(names) > 1 else ():
             other = every[(largest | (every > k)) & (which != which[k])]
             other = other[np.minimum(n[other], n[k]) >= least * np.maximum(n[other], n[k]) - 1e-9]
-            used = np.count_nonzero(held[other] | held[k], axis=1)
-            alike = np.count_nonzero((held[other] == held[k]) & (held[k] > 0), axis=1)
+            both = other[n[other] <= FULL] if n[k] <= FULL else other[:0]
+            if len(both):
+                mine, theirs = full[k, : n[k]], full[both]
+                at = np.minimum(np.searchsorted(mine, theirs), n[k] - 1)
+                alike = ((mine[at] == theirs) & (np.arange(theirs.shape[1]) < n[both][:, None])).sum(1)
+                both = both[alike >= least / (1 + least) * (n[both] + n[k]) - 1e-9]
+            rest = other[n[other] > FULL] if n[k] <= FULL else other
+            used = np.count_nonzero(held[rest] | held[k], axis=1)
+            alike = np.count_nonzero((held[rest] == held[k]) & (held[k] > 0), axis=1)
             # a bin draws one of the hashes of both texts, none of them twice: four standard errors, and one bin for the small
-            drawn = np.minimum(1, used * (1 + least) / (n[other] + n[k]))
-            other = other[alike >= least * used - 4 * np.sqrt(least * (1 - least) * used * (1 - drawn)) - 1]
-            left.append(np.full(len(other), ids[k]))
-            right.append(ids[other])
+            drawn = np.minimum(1, used * (1 + least) / (n[rest] + n[k]))
+            rest = rest[alike >= least * used - 4 * np.sqrt(least * (1 - least) * used * (1 - drawn)) - 1]
+            near = np.concatenate([both, rest])
+            left.append(np.full(len(near), ids[k]))
+            right.append(ids[near])
         return pa.Table.from_batches([_pairs_of(np.concatenate(left), np.concatenate(right)).select(["a", "b"])])
 
     return run
@@ -400,12 +417,12 @@ def across(df: DataFrame, large: DataFrame, found: DataFrame, words: int, least:
     """
     members = staged(large.mapInArrow(_members, "cell long, parts int, _id long"), "members")
     ids = members.select("_id").distinct()
-    held = staged(df.join(small_or(staged(ids, "ids"), FEW), "_id", "left_semi").mapInArrow(_binned(words), "_id long, n int, bins binary").dropDuplicates(["_id"]), "bins")
+    held = staged(df.join(small_or(staged(ids, "ids"), FEW), "_id", "left_semi").mapInArrow(_binned(words), "_id long, n int, hashes binary").dropDuplicates(["_id"]), "hashes")
     roots = components(found).select(F.col("node").alias("_id"), "root").distinct()
     rows = members.join(held.join(roots, "_id", "left").withColumn("root", F.coalesce("root", "_id")), "_id")
     mine = F.pmod(F.xxhash64("_id"), F.col("parts"))
     rows = rows.withColumn("_mine", mine).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))))
-    rows = rows.select("cell", F.least("_mine", "_with").alias("_low"), F.greatest("_mine", "_with").alias("_high"), "_id", "root", "n", "bins")
+    rows = rows.select("cell", F.least("_mine", "_with").alias("_low"), F.greatest("_mine", "_with").alias("_high"), "_id", "root", "n", "hashes")
     return rows.groupBy("cell", "_low", "_high").applyInArrow(_across(least), "a long, b long").distinct()
 
 
@@ -465,7 +482,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, size: int =
     Prefix filtering proposes pairs, and misses none: of texts with n shingles, n - ceil(least n) + 1 of each are taken in one
     order of all shingles, rare ones first, so texts that are similar enough share one of these, which is their cell.  Cells
     of up to `whole` texts give all pairs.  In larger ones all are first compared with the HUBS least ids; then members
-    that verified links do not connect are compared in the cell by binned minima of their hashes, and what these do not
+    that verified links do not connect are compared in the cell, short ones exactly and others by binned minima of their hashes, and what these do not
     settle is verified.  So groups of near copies give few pairs each, and only texts that links connect anyway are not compared.
     Signatures - SimHash again, of 128 bits - travel with the shingles and settle which pairs of a cell are far from the bound.
     Copies are one text here; ids must tell texts apart.
