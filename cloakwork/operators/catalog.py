@@ -104,7 +104,7 @@ def search(files: DataFrame, text: str) -> DataFrame:
 
 def without(files: DataFrame, file_id: str, user_id: str, role: str) -> DataFrame:
     """files after a deletion: the file goes if the user is an admin or its owner."""
-    return files if role not in ROLES else files.where((F.col("id") != file_id) | ~(F.lit(role == "admin") | (F.col("upload_by") == user_id)))
+    return files if role not in ROLES else files.where((F.col("id") != file_id) | ~(F.lit(role == "admin") | F.col("upload_by").eqNullSafe(user_id)))
 
 
 def log_rows(df: DataFrame, action: str, target: Column, details: Column | None = None) -> DataFrame:

@@ -203,3 +203,13 @@ def test_stubs_say_what_is_missing():
 def test_postprocess(spark):
     df = pd.DataFrame({"t": ["ﬁx \t\n Ａ1  ", None, ""]})
     assert [r[0] for r in spark.createDataFrame(df, "t string").select(geometry.postprocess(F.col("t"))).collect()] == ["fix\n A1", None, ""]
+
+
+def test_files_without_owner_stay(spark):
+    from cloakwork.operators import catalog
+
+    files = spark.createDataFrame([("1", None), ("2", "u")], "id string, upload_by string")
+    role = sorted(catalog.ROLES)
+    other = next(r for r in role if r != "admin")
+    assert [r.id for r in catalog.without(files, "1", "u", other).collect()] == ["1", "2"]
+    assert [r.id for r in catalog.without(files, "2", "u", other).collect()] == ["1"]
