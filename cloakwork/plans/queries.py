@@ -234,7 +234,7 @@ _RISKS = {
     "threat_sql": ("CASE doc_id % 7 WHEN 0 THEN 'x; drop   table y' WHEN 1 THEN 'ALTER TABLE a DROP b' WHEN 2 THEN 'copy x from program z' WHEN 3 THEN '/*!5 x */' WHEN 4 THEN 'exec  (x)' WHEN 5 THEN 'dropped tables' ELSE '' END", threats.check_sql),
     "threat_text_script": ("CASE doc_id % 7 WHEN 0 THEN '<SCRIPT src' WHEN 1 THEN '<?php x' WHEN 2 THEN '<% =' WHEN 3 THEN 'a IEX (x' WHEN 4 THEN 'TVqQ' || repeat('A', 40) WHEN 5 THEN 'see javascript:x' ELSE '<scripts' END", threats.check_text),
 }
-_RISKY = "SELECT doc_id, substr(text, 1, 400) || chr(10) || {} AS text FROM documents"
+_RISKY = "SELECT doc_id, text || chr(10) || {} AS text FROM documents"
 
 
 def _first_of(pattern: str, chars: int, text: str = "text") -> str:
@@ -259,23 +259,6 @@ def _one_risk(name: str) -> None:
 for _name in _RISKS:
     _one_risk(_name)
 
-# The same over whole texts; the two above see the first 400 characters, and so does their SQL.
-
-_RISKY_WHOLE = "SELECT doc_id, text || chr(10) || {} AS text FROM documents"
-
-
-def _one_whole_risk(name: str) -> None:
-    risk, check = _RISKS[name]
-
-    @query(f"{name}_whole", f"SELECT doc_id, {_THREAT_SQL[name]} AS reason FROM ({_RISKY_WHOLE.format(risk)})")
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.sql(_RISKY_WHOLE.format(risk).replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
-        return df.select("doc_id", check(F.col("text")).alias("reason"))
-
-
-for _name in _RISKS:
-    _one_whole_risk(_name)
-
 
 @query("threat_pages", f"SELECT page_id, {_THREAT_SQL['threat_text_script']} AS reason FROM (SELECT page_id, html AS text FROM pages)")
 def threat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_queries_scan_whole_texts(spark, tmp_path):
     far = "plain words " * 500
     rows = [(6, far + "; DROP TABLE users; <script >"), (13, far), (20, "; DROP TABLE users; <script >" + far), (27, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    sql = {r.doc_id: r.reason for r in queries.QUERIES["threat_sql_whole"][0](spark, str(tmp_path)).collect()}
-    script = {r.doc_id: r.reason for r in queries.QUERIES["threat_text_script_whole"][0](spark, str(tmp_path)).collect()}
+    sql = {r.doc_id: r.reason for r in queries.QUERIES["threat_sql"][0](spark, str(tmp_path)).collect()}
+    script = {r.doc_id: r.reason for r in queries.QUERIES["threat_text_script"][0](spark, str(tmp_path)).collect()}
     assert sql == {6: 'Destructive SQL statement detected: "DROP TABLE"', 13: None, 20: 'Destructive SQL statement detected: "DROP TABLE"', 27: None}
     assert {k: v and v.split(":")[0] for k, v in script.items()} == {6: "Embedded script/code detected in text file", 13: None, 20: "Embedded script/code detected in text file", 27: None}
