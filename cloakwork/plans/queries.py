@@ -638,7 +638,9 @@ def detect_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.sql import register
 
     register(spark)
-    found = spark.sql("SELECT t.doc_id, s.entity_type, s.start AS span_start, s.`end` AS span_end, s.score FROM {t} t, LATERAL detect_spans(t.text) s", t=views.records(spark, sf_dir))
+    keys = detection.spread(table(spark, sf_dir, "customer").select("c_custkey"))  # keys, not texts, go through the shuffle
+    rows = keys.selectExpr("c_custkey AS doc_id", f"{views.RECORD} AS text")
+    found = spark.sql("SELECT t.doc_id, s.entity_type, s.start AS span_start, s.`end` AS span_end, s.score FROM {t} t, LATERAL detect_spans(t.text) s", t=rows)
     return found.withColumns({c: F.col(c).cast("long") for c in ("span_start", "span_end")})
 
 

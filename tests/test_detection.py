@@ -1,8 +1,14 @@
 """Detection, span algebra and rewriting against a plain model, fixtures and properties."""
 
+import os
 import random
+import re
+import subprocess
+import sys
 
-from cloakwork.functions import rewrite, rules, spans
+from cloakwork.functions import rewrite, rules, spans, sql
+from cloakwork.plans import queries
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from . import model
@@ -112,3 +118,39 @@ def test_tokens(spark):
     assert c.split(" and ")[1].startswith(c.split(" and ")[0])
     none = df.select(rewrite.sanitize(F.col("t"), F.col("s"), "other").alias("x")).first().x
     assert none.n == 0 and "@" in none.text
+
+
+def test_table_function_over_all_cores(spark, sf):
+    """A small file of keys, of which each gives a long text, is not scanned by one task."""
+    df = queries.detect_udtf(spark, sf)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert df.count() == 27 * spark.read.parquet(f"{sf}/customer.parquet").count()
+
+
+def test_table_function_tries_patterns_where_they_can_begin(spark, sf):
+    """The scan of the table function finds what each rule finds alone."""
+    rng = random.Random(10)
+    more = ["x+919000000001", "face_tmp_01234567", "0123ABCD-0000-4000-8000-0123456789AB", "٣٤٥٦٧٨٩٠١٢٣٤", "İmei: 12", "ıfsc: ab", "K", "ΣΑΣ", "_", ".", "+", "é.a@okupi", "9" * 20, "1 " * 14, "1.2.3.4.5.6.7.8", "2024-01-012024-02-02", "ip:"]
+    texts = [rng.choice([" ", " ", "", "\n"]).join(rng.choice(WORDS + more) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    texts += ["".join(rng.choice("aAfFxX09 +.-@_%:=\n\t#'é٣ſİ") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    scan = sql.Scan()
+    for t in texts:
+        assert sql.plain_spans(t, scan) == model.detect(t), t
+        alone = [(k, *m.span()) for k, r in enumerate(rules.PATTERN_RULES) for m in re.finditer(r.regex, t)]
+        assert sorted(scan.patterns(t)) == alone, t
+
+
+def test_table_function_goes_to_workers_whole(tmp_path):
+    """Executors have no copy of the package."""
+    (tmp_path / "handler").write_bytes(cloudpickle.dumps(sql._DetectSpans))
+    run = "from pyspark import cloudpickle; print(list(cloudpickle.load(open('handler', 'rb'))().eval('Mr. Asha Rao')))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", run], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout == "[('PERSON', 4, 12, 0.85)]\n"
+
+
+def test_rules_that_begin_with_a_class():
+    known = {r.name: re.compile(r.regex) for r in rules.PATTERN_RULES}
+    for _, _, names in sql._FIRST:
+        assert all(known[n].groups == 0 and known[n].pattern.startswith(r"\b") for n in names)
+    assert {r.name for r in rules.PATTERN_RULES if "@" in r.needs} == set(sql._ON_LINES)
